@@ -1,0 +1 @@
+"""Temporal policy analytics on Spark: past-time conditions over an event stream, compiled to DataFrame plans."""
