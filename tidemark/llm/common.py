@@ -77,16 +77,17 @@ def words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def running_offset(df: DataFrame, group: list[str], order: list[str], value: str, out: str, buckets: int = 256) -> DataFrame:
+def running_offset(df: DataFrame, group: list[str], order: list[str], value: str, out: str, bucket: Column | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the group that come before, in a fixed pseudorandom order.
 
-    The order is by a hash bucket of ``order``, then ``order``. A group of any size is dealt out by bucket; only one row for
+    The order is by ``bucket`` (by default one of 1024 by a hash of ``order``), then ``order``. A group of any size is dealt out by bucket; only one row for
     each bucket meets the others, so no task holds a whole group. Rows alike in ``order`` follow one another.
     """
-    b = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(*order), F.lit(1024)).cast("int") if bucket is None else bucket
+    b = df.withColumn("__b", bucket)
     inner = Window.partitionBy(*group, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("__in", F.coalesce(F.sum(value).over(inner), F.lit(0)).cast("long"))
-    totals = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).groupBy(*group, "__b").agg(F.sum(value).alias("__sum"))
+    totals = df.withColumn("__b", bucket).groupBy(*group, "__b").agg(F.sum(value).alias("__sum"))
     before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast("long")).drop("__sum")
     on = [F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*group, "__b"]]

@@ -105,18 +105,14 @@ def tally(page: str) -> Counter:
 def fit(counts: dict[tuple[str, bool], int], strength: float = 40.0) -> dict[str, float]:
     """Weights of words and tags from labelled counts.
 
-    A word weighs 1. A tag weighs -(0.1 + strength * q * q) with q the smoothed share of its uses that lie outside the content: tags
-    of running text cost next to nothing, tags found only around the content cost ``strength`` words.
+    A word weighs 1. A tag weighs -(0.1 + strength * q * q) with q the share of its uses that lie outside the content, lowered where there
+    are few: tags of running text cost next to nothing, tags found only around the content cost ``strength`` words. Left-out clutter
+    costs no more than they do, since it stands within articles too.
     """
-    kinds = KNOWN | {OTHER, CUT}
-    inside = sum(n for (k, i), n in counts.items() if i and k != WORDS)
-    outside = sum(n for (k, i), n in counts.items() if not i and k != WORDS)
-    prior = (outside + 1) / (inside + outside + 2)
-    out = {WORDS: 1.0}
-    for k in sorted(kinds):
+    out = {WORDS: 1.0, CUT: -0.1}
+    for k in sorted(KNOWN | {OTHER}):
         a, b = counts.get((k, True), 0), counts.get((k, False), 0)
-        q = (b + 2 * prior) / (a + b + 2)
-        out[k] = -(0.1 + strength * q * q)
+        out[k] = -(0.1 + strength * (b / (a + b + 2)) ** 2)
     return out
 
 

@@ -36,12 +36,12 @@ def rendezvous(key: Column, shards: int | Sequence[float]) -> Column:
     return (F.greatest(*best) if len(best) > 1 else best[0])["s"]
 
 
-def shard(docs: DataFrame, shards: int | Sequence[float] = 40, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, shards: int | Sequence[float] = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's shard by its id, and its gapless place (slot) in the shard, from 0.
 
     Returns id, size (UTF-8 bytes of the text plus 16), text_crc32, law (``key``), shard, slot, grown_shard: the shard if there
-    were one more of weight 1. Slots follow a hash of the id, then the id, the CRC and the size; rows alike in these take
-    neighbouring slots. A shard's rows are numbered in ``buckets`` parts, so no task holds a whole shard.
+    were one more of weight 1. Slots follow the first 12 bits of the id's MD5, then the id, the CRC and the size; rows alike in these take
+    neighbouring slots. A shard's rows are numbered in 4096 parts by these bits, so no task holds a whole shard.
 
     A null text counts as empty, a null id as the empty key. Repeated rows get slots of their own. An empty table gives no rows.
     """
@@ -56,5 +56,5 @@ def shard(docs: DataFrame, shards: int | Sequence[float] = 40, id_col: str = "do
         rendezvous(F.col(id_col), more).alias("grown_shard"),
         F.lit(1).alias("__one"),
     )
-    out = running_offset(rows, ["shard"], [id_col, "text_crc32", "size"], "__one", "slot", buckets)
+    out = running_offset(rows, ["shard"], [id_col, "text_crc32", "size"], "__one", "slot", F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 3))
     return out.select(id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
