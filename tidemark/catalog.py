@@ -264,9 +264,9 @@ def slice_(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def many_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A permit and 100 forbids ``formerly within 6h`` for one user each: alike but for a literal, so one plan serves all."""
+    """A permit and 100 forbids ``formerly within 2h`` an error with some k: alike but for a literal, so one plan serves all."""
     source = '@id("p") permit (principal, action == E::Action::"click", resource);\n' + "\n".join(
-        f'@id("f{n}") forbid (principal, action == E::Action::"click", resource) when temporal {{ formerly within 2h {p("error", "input.k: context.input.k".replace("context.input.k", str(n)))} }};' for n in range(100)
+        f'@id("f{n}") forbid (principal, action == E::Action::"click", resource) when temporal {{ formerly within 2h {p("error", f"input.k: {n}")} }};' for n in range(100)
     )
     return _decided(events(spark, sf_dir), source).select("event_id", "allowed", "reason")
 

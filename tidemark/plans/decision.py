@@ -160,8 +160,13 @@ def decide(trace: Trace, policies: PolicySet, schema: EventSchema, rate: int = 1
     plain = Plain(trace)
     base = df.where(F.col("kind").isin(*schema.decisions))
     entries, expanded = policies.entries, policies.schema
+    # A policy that is just a clause for some actions is as good as its leaf: it needs no column of its own
+    bare = [e for e in entries if sliced and not e.policy.when and len(e.policy.temporal) == 1 and e.policy.temporal[0][0] and not e.policy.scope.principal and not e.policy.scope.resource]
+    plainly = {e.token for e in bare}
     rules = []
     for e in entries:
+        if e.token in plainly:
+            continue
         actions = expanded.expand(e.policy.scope.actions)
         ok = F.lit(TRUE)
         for holds, x in e.policy.when:
@@ -173,11 +178,18 @@ def decide(trace: Trace, policies: PolicySet, schema: EventSchema, rate: int = 1
     scoped = base.select("id", "tp", "ts", present.alias("present"), *[F.when(s, ok).otherwise(F.lit(FALSE)).alias(f"w{i}") for i, (_, s, ok) in enumerate(rules)])
     leaves = policies.leaves(sliced)
     truths = leaf_verdicts(trace, leaves, schema, rate, fast=fast) if leaves else None
+    none = F.array().cast("array<string>")
     if truths is not None:
-        held = truths.groupBy("d").agg(F.collect_set("leaf").alias("leaves"))
-        scoped = scoped.join(held, scoped["id"] == held["d"], "left").withColumn("leaves", F.coalesce("leaves", F.array().cast("array<string>")))
+        owners = df.sparkSession.createDataFrame([(f"{e.ordinal}:0", e.token, e.policy.effect) for e in bare], "leaf string, token string, effect string")
+        held = truths.join(owners, "leaf", "left").groupBy("d").agg(
+            F.collect_set(F.when(F.col("token").isNull(), F.col("leaf"))).alias("leaves"),
+            F.collect_set(F.when(F.col("effect") == "forbid", F.col("token"))).alias("bare_forbid"),
+            F.collect_set(F.when(F.col("effect") == "permit", F.col("token"))).alias("bare_permit"),
+        )
+        scoped = scoped.join(held, scoped["id"] == held["d"], "left")
+        scoped = scoped.withColumns({c: F.coalesce(c, none) for c in ("leaves", "bare_forbid", "bare_permit")})
     else:
-        scoped = scoped.withColumn("leaves", F.array().cast("array<string>"))
+        scoped = scoped.withColumns(dict.fromkeys(("leaves", "bare_forbid", "bare_permit"), none))
 
     def satisfied(i: int, e: Entry) -> Column:
         out = F.col(f"w{i}") == TRUE
@@ -188,12 +200,12 @@ def decide(trace: Trace, policies: PolicySet, schema: EventSchema, rate: int = 1
 
     def tokens(effect: str) -> Column:
         found = [F.when(satisfied(i, e), F.lit(e.token)) for i, (e, _, _) in enumerate(rules) if e.policy.effect == effect]
-        return F.array_sort(F.array_compact(F.array(*found))) if found else F.array().cast("array<string>")
+        own = F.array_compact(F.array(*found)) if found else none
+        return F.array_sort(F.concat(own, F.col(f"bare_{effect}")))
 
     failed = F.array_compact(F.array(*[F.when(F.col(f"w{i}").isNull(), F.lit(e.token)) for i, (e, _, _) in enumerate(rules)])) if rules else F.array().cast("array<string>")
     out = scoped.select("id", "tp", "ts", "present", tokens("forbid").alias("forbids"), tokens("permit").alias("permits"), F.array_sort(failed).alias("failed"))
     allowed = F.col("present") & (F.size("forbids") == 0) & (F.size("permits") > 0)
-    none = F.array().cast("array<string>")
     reason = F.when(~F.col("present"), none).when(F.size("forbids") > 0, F.col("forbids")).otherwise(F.col("permits"))
     errors = F.when(F.col("present"), F.col("failed")).otherwise(F.array(F.lit("missing scope")))
     return out.select("id", "tp", "ts", allowed.alias("allowed"), reason.alias("reason"), errors.alias("errors"))
