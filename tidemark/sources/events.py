@@ -217,8 +217,12 @@ def wire_value(value: Any) -> Any:
 
 
 def read_wire(text: str | bytes) -> dict[str, Any]:
+    """A wire event from its JSON text."""
+    return read_wire_event(json.loads(text, parse_float=Dec))
+
+
+def read_wire_event(msg: Any) -> dict[str, Any]:
     """A wire event. Only groups of fields are taken from ``logged`` and ``context``; scalars beside them are dropped."""
-    msg = json.loads(text, parse_float=Dec)
     known = {"action", "kind", "principal", "resource", "logged", "context", "entities", "parents"}
     if not isinstance(msg, dict) or set(msg) - known or not {"action", "kind"} <= set(msg):
         raise PolicyError("no wire event")
