@@ -281,8 +281,8 @@ def test_common_subsequence() -> None:
     rng = random.Random(9)
     for _ in range(300):
         a, b = ([rng.choice("abcde") for _ in range(rng.randint(1, 70))] for _ in range(2))
-        item = decontaminate.Item.of(1, " ".join(a))
-        assert item.common(b) == lcs(a, b)
+        item = decontaminate.Item.of(1, [x.encode() for x in a])
+        assert item.common([x.encode() for x in b]) == lcs(a, b)
 
 
 def test_decontamination(spark) -> None:
@@ -321,7 +321,7 @@ def test_recall_against_brute_force(spark) -> None:
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
-    normal = lambda t: " " + " ".join(w for w in map(decontaminate.clean, (t or "").lower().split()) if w) + " "
+    normal = lambda t: " " + " ".join(re.sub(r"[!-/:-@\[-`{-~]", "", (t or "").lower()).split()) + " "
     items = [(r["item_id"], normal(r["text"])) for r in bench]
     want = {(d["doc_id"], i) for d in docs for i, t in items if t in normal(d["text"])}
     got = {(r["doc_id"], int(i)) for r in op8_decontamination(spark, "/root/testdata/sf0.01").where("contaminated").collect() for i in r["items"].split(",")}
@@ -332,3 +332,12 @@ def test_odd_rows_everywhere(spark) -> None:
     df = frame(spark, ODD)
     assert lang_id.predict(df, lang_id.train(df)).count() == len(ODD)
     assert secrets.secret_scan(df).count() == len(ODD) and mixing.mix(df).count() == len(ODD)
+
+
+def test_words_and_their_terms() -> None:
+    texts = ["The cat, sat! 'on' É mat", "", "... --", "the CAT sat on é mat x", "don't ünder\tthe x"]
+    w = decontaminate.Words.of(texts)
+    assert w.sizes.tolist() == [6, 0, 0, 7, 3]
+    assert w.listed(0, 6) == [x.encode() for x in ["the", "cat", "sat", "on", "é", "mat"]] == w.listed(6, 12)
+    assert w.terms[:6].tolist() == w.terms[6:12].tolist() and len(set(w.terms[:7].tolist())) >= 5
+    assert decontaminate.Words.of([]).sizes.tolist() == [] and w.terms.max() < decontaminate.TERMS

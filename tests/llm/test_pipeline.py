@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_dedup import brute_components, slow_fingerprint, slow_shard
 from test_models import speak
 
-from tidemark.llm import decontaminate, mixing
+from tidemark.llm import mixing
 
 
 @pytest.fixture(scope="module")
@@ -72,4 +72,3 @@ def test_empty_and_further_columns(spark, tmp_path) -> None:
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    assert decontaminate.Item.of(1, None).words == []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,34 +11,63 @@ from pyspark.sql import functions as F
 
 from .common import blocks, materialize
 
-PUNCTUATION = ".,!?;:\"'()[]{}<>*_«»„“”‘’…-"
 #: Hashed terms, latent dimensions and the surplus of the random sketch.
 TERMS, DIMENSIONS, SURPLUS = 1 << 14, 128, 16
 #: A passage of the fit, a chunk of the search, and the windows searched: (chunks, stride in chunks).
 PASSAGE, CHUNK, WINDOWS = 32, 8, ((2, 1), (4, 2), (8, 2))
 #: At most about so many passages of the corpus fit the latent space; all passages are counted and searched.
 FIT_PASSAGES = 16_384
+#: Tasks that fit the space; each sends one matrix of terms by dimensions (9 MB) to the driver.
+FIT_TASKS = 3
 
 
-def clean(word: str) -> str:
-    return word.strip(PUNCTUATION)
+#: Bytes of lower-cased text: 0 part of a word, 1 white space, 2 punctuation, which is left out.
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = 1
+_KIND[[i for i in range(33, 127) if not chr(i).isalnum()]] = 2
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
 
 
-class _Terms(dict):
-    """The hashed term of a word as it stands in a lower-cased text."""
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(size - 1, b, dtype=np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        out = self[word] = zlib.crc32(clean(word).encode("utf-8", "surrogatepass")) % TERMS
-        return out
 
+@dataclass
+class Words:
+    """The words of a block of texts, one text after the other: lower-cased, without ASCII punctuation."""
 
-def _block_terms(texts: list[str], terms: _Terms) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-    """Words of each text, all their terms in a row, and how many each text has."""
-    split = [t.lower().split() for t in texts]
-    sizes = np.array([len(w) for w in split], dtype=np.int64)
-    return split, np.array([terms[w] for ws in split for w in ws], dtype=np.int64), sizes
+    data: np.ndarray  # bytes
+    first: np.ndarray  # where each word begins and ends in them
+    last: np.ndarray
+    sizes: np.ndarray  # words of each text
+    terms: np.ndarray  # the hashed term of each word
+
+    @staticmethod
+    def of(texts: list[str]) -> Words:
+        encoded = [t.lower().encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+        raw = np.frombuffer(b"".join(encoded), dtype=np.uint8)
+        kind = _KIND[raw]
+        keep = kind != 2
+        data, space = raw[keep], kind[keep] == 1
+        before = np.concatenate([[True], space[:-1]])
+        first, last = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
+        stops = np.cumsum(keep)[np.cumsum([len(e) for e in encoded]) - 1] if encoded else np.zeros(0, dtype=np.int64)
+        sizes = np.bincount(np.searchsorted(stops, first, side="right"), minlength=len(texts))
+        power, inverse = _power_tables(len(data) + 1)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+        mixed = (sums[last] - sums[first]) * inverse[first]
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(_BASE)
+        return Words(data, first, last, sizes, (mixed >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64))
+
+    def listed(self, a: int, b: int) -> list[bytes]:
+        return [self.data[i:j].tobytes() for i, j in zip(self.first[a:b].tolist(), self.last[a:b].tolist(), strict=True)]
 
 
 def _starts(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,38 +84,41 @@ def passage_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        df, terms = np.zeros(TERMS + 1, dtype=np.int64), _Terms()
+        df = np.zeros(TERMS + 1, dtype=np.int64)
         for _, texts in blocks(batches, "t"):
-            _, ids, sizes = _block_terms(texts, terms)
-            at, _ = _starts(sizes, PASSAGE)
+            w = Words.of(texts)
+            at, _ = _starts(w.sizes, PASSAGE)
             if len(at):
-                passage = np.repeat(np.arange(len(at)), np.diff([*at, len(ids)]))
-                df[:TERMS] += np.bincount(np.unique(passage * TERMS + ids) % TERMS, minlength=TERMS)
+                passage = np.repeat(np.arange(len(at)), np.diff(at, append=len(w.terms)))
+                found = np.sort(passage * TERMS + w.terms)
+                new = np.concatenate([[True], found[1:] != found[:-1]])
+                df[:TERMS] += np.bincount(found[new] % TERMS, minlength=TERMS)
                 df[TERMS] += len(at)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TERMS + 1, dtype=np.int32)), pa.array(df)], names=["i", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(TERMS + 1, dtype=np.int64)
-    out[rows["i"].to_numpy()] = rows["n"].to_numpy()
+    for i, n in rows:
+        out[i] = n
     return out[:TERMS], int(out[TERMS])
 
 
 def _passages(docs: DataFrame, text_col: str, share: float) -> DataFrame:
-    """Terms of the passages whose hash falls into ``share``."""
-    most = min(1 << 32, round(share * (1 << 32)))
+    """Terms of all passages of the documents whose hash, over all columns, falls into ``share``; other documents aren't even split."""
+    most = round(share * (1 << 32))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        terms = _Terms()
         for _, texts in blocks(batches, "t"):
-            _, ids, sizes = _block_terms(texts, terms)
-            at, _ = _starts(sizes, PASSAGE)
-            found = [p.astype(np.int32) for p in np.split(ids, at[1:])] if len(at) else []
-            found = [p for p in found if zlib.crc32(p.tobytes()) < most]
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in found], pa.binary())], names=["terms"])
+            w = Words.of(texts)
+            at, _ = _starts(w.sizes, PASSAGE)
+            found = [p.astype(np.int32).tobytes() for p in np.split(w.terms, at[1:])] if len(at) else []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["terms"])
 
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "terms binary")
+    names = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    chosen = docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(1 << 32)) < most)
+    return chosen.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "terms binary")
 
 
 def _matrix(passages: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
@@ -122,39 +153,39 @@ def latent_space(passages: DataFrame, idf: np.ndarray, more: list[np.ndarray], d
                     out += (y if small else a).T @ y
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["x"])
 
-        parts = passages.mapInArrow(run, "x binary").collect()  # as many as the fit's few partitions
-        held.unpersist()
-        a = _matrix(more, idf)
-        y = a @ q
-        total = ((y if small else a).T @ y).astype(np.float64)
-        for p in parts:
+        total = np.zeros((q.shape[1] if small else TERMS, q.shape[1]), dtype=np.float32)
+        for at in range(0, len(more), 512):
+            a = _matrix(more[at : at + 512], idf)
+            y = a @ q
+            total += (y if small else a).T @ y
+        for p in passages.coalesce(FIT_TASKS).mapInArrow(run, "x binary").collect():
             total += np.frombuffer(p["x"], dtype=np.float32).reshape(total.shape)
+        held.destroy()
         return total
 
     q = np.random.default_rng(seed).standard_normal((TERMS, dimensions + SURPLUS)).astype(np.float32)
     for _ in range(rounds):
-        q = np.linalg.qr(product(q, False))[0].astype(np.float32)
-    _, turn = np.linalg.eigh(product(q, True))
+        q = np.linalg.qr(product(q, False))[0]
+    _, turn = np.linalg.eigh(product(q, True).astype(np.float64))
     return (q @ turn[:, ::-1][:, :dimensions]).astype(np.float32)
 
 
 @dataclass
 class Item:
-    """A benchmark passage as cleaned words, and the bits at which each word stands."""
+    """A benchmark passage as words, and the bits at which each word stands."""
 
     ident: int
-    words: list[str]
-    masks: dict[str, int]
+    words: list[bytes]
+    masks: dict[bytes, int]
 
     @staticmethod
-    def of(ident: int, text: str | None) -> Item:
-        found = [w for w in map(clean, (text or "").lower().split()) if w]
-        masks: dict[str, int] = {}
-        for i, w in enumerate(found):
+    def of(ident: int, words: list[bytes]) -> Item:
+        masks: dict[bytes, int] = {}
+        for i, w in enumerate(words):
             masks[w] = masks.get(w, 0) | 1 << i
-        return Item(ident, found, masks)
+        return Item(ident, words, masks)
 
-    def common(self, text: list[str]) -> int:
+    def common(self, text: list[bytes]) -> int:
         """Bits of the item's words, cleared where a longest common subsequence with ``text`` grows (bit-parallel)."""
         full = (1 << len(self.words)) - 1
         v = full
@@ -165,11 +196,11 @@ class Item:
         return len(self.words) - (v & full).bit_count()
 
     @property
-    def answer(self) -> list[str]:
+    def answer(self) -> list[bytes]:
         return self.words[-max(3, len(self.words) // 5) :]
 
 
-def contained(item: Item, region: list[str], strong: float, weak: float) -> float:
+def contained(item: Item, region: list[bytes], strong: float, weak: float) -> float:
     """The best share of the item's words found in order within stretches 1.5 times its length; 0 if that is no match.
 
     A share of ``strong`` is a match. From ``weak`` on, the stretch must also hold the item's answer, its last words, in order.
@@ -177,7 +208,7 @@ def contained(item: Item, region: list[str], strong: float, weak: float) -> floa
     n, best = len(item.words), 0.0
     if n < 5 or item.common(region) < weak * n:
         return 0.0
-    answer = Item.of(0, " ".join(item.answer))
+    answer = Item.of(0, item.answer)
     width, step = n + n // 2 + 1, max(1, n // 4)
     for at in range(0, max(1, len(region) - width + step), step):
         part = region[at : at + width]
@@ -192,12 +223,20 @@ class Index:
     """The benchmark in latent space."""
 
     idf: np.ndarray
-    space: np.ndarray
+    space: np.ndarray  # terms by dimensions, times idf; one more row of zeros, for what fills up a chunk
     items: list[Item]
     latent: np.ndarray  # items by dimensions
     terms: list[np.ndarray]  # distinct terms of each item
     weight: np.ndarray  # sum of idf over them
 
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The items in blocks: number of the first, latent vectors, and the idf of each item's terms, items by terms."""
+        for at in range(0, len(self.items), 512):
+            inside = np.zeros((min(512, len(self.items) - at), TERMS + 1), dtype=np.float32)
+            for i, t in enumerate(self.terms[at : at + 512]):
+                inside[i, t] = self.idf[t]
+            yield at, self.latent[at : at + 512], inside
+
 
 def build_index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_col: str = "text", text_col: str = "text", fit_passages: int = FIT_PASSAGES) -> Index:
     """Count all passages, fit the latent space on a bounded sample and the benchmark, and fold the benchmark in.
@@ -207,59 +246,58 @@ def build_index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id",
     df, n = passage_counts(docs, text_col)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32).clip(0)
     pairs = benchmark.select(F.col(id_col), F.col(item_col).cast("string")).where(F.col(id_col).isNotNull()).distinct().orderBy(id_col, item_col).collect()
-    items = [x for x in (Item.of(r[0], r[1]) for r in pairs) if len(x.words) >= 5]
-    terms = _Terms()
-    rows = [np.array([terms[w] for w in x.words], dtype=np.int64) for x in items]
-    share = min(1.0, fit_passages / max(1, n))
-    sample = materialize(_passages(docs, text_col, share).repartition(4))
-    space = latent_space(sample, idf, rows)
-    latent = np.array([(idf[r][:, None] * space[r]).sum(axis=0) for r in rows], dtype=np.float32).reshape(len(rows), space.shape[1])
+    words = Words.of([r[1] or "" for r in pairs])
+    ends = np.cumsum(words.sizes)
+    long = [(r[0], int(e - m), int(e)) for r, e, m in zip(pairs, ends, words.sizes, strict=True) if m >= 5]
+    items = [Item.of(i, words.listed(a, b)) for i, a, b in long]
+    rows = [words.terms[a:b] for _, a, b in long]
+    sample = materialize(_passages(docs, text_col, min(1.0, fit_passages / max(1, n))).repartition(FIT_TASKS))
+    space = latent_space(sample, idf, rows) * idf[:, None]
+    latent = np.array([space[r].sum(axis=0) for r in rows], dtype=np.float32).reshape(len(rows), space.shape[1])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     distinct = [np.unique(r) for r in rows]
-    return Index(idf, space, items, latent, distinct, np.array([idf[u].sum() for u in distinct]))
+    return Index(idf, np.vstack([space, np.zeros((1, space.shape[1]), dtype=np.float32)]), items, latent, distinct, np.array([idf[u].sum() for u in distinct]))
 
 
-def candidates(index: Index, ids: np.ndarray, sizes: np.ndarray, cosine: float, cover: float) -> Iterator[tuple[int, int, int, int]]:
+def candidates(index: Index, parts: list, words: Words, cosine: float, cover: float) -> Iterator[tuple[int, int, int, int]]:
     """(text, item, first, last) for windows near an item in latent space that hold enough of its distinctive terms.
 
     ``cover`` is the share of the item's IDF that the window's words must reach; it is computed on terms, not in latent space.
     """
-    at, owner = _starts(sizes, CHUNK)
-    if not len(at) or not index.items:
+    pieces = -(-words.sizes // CHUNK)
+    n = int(pieces.sum())
+    if not n or not index.items:
         return
-    sums = np.empty((len(at) + 1, index.space.shape[1]), dtype=np.float64)
-    sums[0] = 0
-    for a in range(0, len(at), 4096):
-        b = min(len(at), a + 4096)
-        lo, hi = at[a], at[b] if b < len(at) else len(ids)
-        part = ids[lo:hi]
-        sums[a + 1 : b + 1] = np.add.reduceat(index.space[part] * index.idf[part][:, None], at[a:b] - lo, axis=0)
+    # Each text's terms in whole chunks, filled up with the row of zeros
+    start, begin = np.cumsum(words.sizes) - words.sizes, np.cumsum(pieces) - pieces
+    padded = np.full((n, CHUNK), TERMS, dtype=np.int64)
+    padded.ravel()[np.arange(len(words.terms)) + np.repeat(begin * CHUNK - start, words.sizes)] = words.terms
+    sums = np.zeros((n + 1, index.space.shape[1]))
+    for a in range(0, n, 1024):
+        total = np.take(index.space, padded[a : a + 1024, 0], axis=0)
+        for c in range(1, CHUNK):
+            total += np.take(index.space, padded[a : a + 1024, c], axis=0)
+        sums[a + 1 : a + 1025] = total
     np.cumsum(sums, axis=0, out=sums)
-    pieces = -(-sizes // CHUNK)
-    begin = (np.cumsum(pieces) - pieces)[owner]
-    end = np.cumsum(pieces)[owner]
-    stop = np.cumsum(sizes)[owner]
-    number = np.arange(len(at))
+    owner = np.repeat(np.arange(len(pieces)), pieces)
+    number = np.arange(n)
     for chunks, stride in WINDOWS:
-        first = number[(number - begin) % stride == 0]
-        last = np.minimum(first + chunks, end[first])
+        first = number[(number - begin[owner]) % stride == 0]
+        last = np.minimum(first + chunks, (begin + pieces)[owner[first]])
         window = (sums[last] - sums[first]).astype(np.float32)
         window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-        lo, hi = at[first], np.minimum(at[first] + chunks * CHUNK, stop[first])
-        for a in range(0, len(first), 4096):
-            w, x = np.nonzero(window[a : a + 4096] @ index.latent.T >= cosine)
-            if not len(w):
-                continue
-            w += a
-            for item in np.unique(x):
-                mine = w[x == item]
-                inside = np.zeros(TERMS, dtype=np.float32)
-                inside[index.terms[item]] = index.idf[index.terms[item]]
-                span = np.arange(chunks * CHUNK)
-                places = lo[mine][:, None] + span
-                gained = np.where(places < hi[mine][:, None], inside[ids[np.minimum(places, len(ids) - 1)]], 0).sum(axis=1)
-                for i in mine[gained >= cover * index.weight[item]].tolist():
-                    yield int(owner[first[i]]), int(item), int(lo[i]), int(hi[i])
+        for base, latent, inside in parts:
+            for a in range(0, len(first), 4096):
+                w, x = np.divmod(np.flatnonzero((window[a : a + 4096] @ latent.T).ravel() >= cosine), len(latent))
+                for c in range(0, len(w), 16_384):
+                    wc, xc = w[c : c + 16_384] + a, x[c : c + 16_384]
+                    rows = first[wc][:, None] + np.arange(chunks)
+                    held = np.where((rows < last[wc][:, None])[:, :, None], padded[np.minimum(rows, n - 1)], TERMS).reshape(len(wc), -1)
+                    good = np.flatnonzero(inside[xc[:, None], held].sum(axis=1) >= cover * index.weight[base + xc])
+                    for i, k in zip(wc[good].tolist(), xc[good].tolist(), strict=True):
+                        t = int(owner[first[i]])
+                        lo = int(first[i] - begin[t]) * CHUNK
+                        yield t, base + k, lo, min(lo + chunks * CHUNK, int(words.sizes[t]))
 
 
 def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float = 0.65, cover: float = 0.45, strong: float = 0.8, weak: float = 0.6) -> DataFrame:
@@ -267,24 +305,24 @@ def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float
     held = docs.sparkSession.sparkContext.broadcast(index)
     keep = [c for c in docs.columns if c not in ("contaminated", "n_items", "items", "best_share")]
 
-    def found(texts: list[str], terms: _Terms) -> list[list[tuple]]:
+    def found(texts: list[str], parts: list) -> list[list[tuple]]:
         idx: Index = held.value
-        split, ids, sizes = _block_terms(texts, terms)
-        begin = np.cumsum(sizes) - sizes
+        words = Words.of(texts)
+        begin = np.cumsum(words.sizes) - words.sizes
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for t, item, lo, hi in candidates(idx, ids, sizes, cosine, cover):
-            spans.setdefault((t, item), []).append((lo - int(begin[t]), hi - int(begin[t])))
+        for t, item, lo, hi in candidates(idx, parts, words, cosine, cover):
+            spans.setdefault((t, item), []).append((lo, hi))
         out: list[list[tuple]] = [[] for _ in texts]
         for (t, k), windows in spans.items():
             item, best, regions = idx.items[k], 0.0, []
             for lo, hi in sorted(windows):
-                lo, hi = max(0, lo - len(item.words)), hi + len(item.words)
+                lo, hi = max(0, lo - len(item.words)), min(hi + len(item.words), int(words.sizes[t]))
                 if regions and lo <= regions[-1][1]:
                     regions[-1][1] = max(hi, regions[-1][1])
                 else:
                     regions.append([lo, hi])
             for lo, hi in regions:
-                best = max(best, contained(item, [c for c in map(clean, split[t][lo:hi]) if c], strong, weak))
+                best = max(best, contained(item, words.listed(int(begin[t]) + lo, int(begin[t]) + hi), strong, weak))
             if best:
                 out[t].append((item.ident, best))
         return out
@@ -292,11 +330,11 @@ def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        terms = _Terms()
+        parts = list(held.value.parts())
         for batch in batches:
             hits: list[list[tuple]] = []
-            for _, texts in blocks([batch.select(["__text"])], "__text"):
-                hits += found(texts, terms)
+            for _, texts in blocks([batch.select(["__text"])], "__text", 1 << 19):
+                hits += found(texts, parts)
             listed = [sorted({i for i, _ in h}) for h in hits]
             cols = [*[batch.column(i) for i in range(len(keep))], pa.array([bool(x) for x in listed]), pa.array([len(x) for x in listed], pa.int32()), pa.array([",".join(map(str, x)) for x in listed], pa.string()), pa.array([max((s for _, s in h), default=0.0) for h in hits], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "contaminated", "n_items", "items", "best_share"])
@@ -313,7 +351,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     space is a candidate. It is held against the passage word by word: a text is contaminated if a stretch of 1.5 times the
     passage's length has ``strong`` of its words in order, or ``weak`` of them and its answer (its last words).
 
-    Words are lower-cased, and punctuation around them doesn't count. Benchmark passages of under five words are never found. A
+    Words are lower-cased, and ASCII punctuation doesn't count. Benchmark passages of under five words are never found. A
     null or empty text is clean, as is every text if the benchmark is empty. Rows are handled each for itself, so repeated rows
     stay. Columns named like the outputs are replaced. An empty table gives no rows.
     """
