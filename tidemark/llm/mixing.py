@@ -126,7 +126,8 @@ def plan(rows: DataFrame, weights: Sequence[float], fraction: float, block: int,
     lo = F.greatest(F.lit(0), F.col("blk") * block - F.col("start"))
     placed = placed.withColumn("lo", lo).withColumn("at", F.col("start") + F.col("lo") - F.col("blk") * block)
     placed = placed.withColumn("hi", F.least("size", (F.col("blk") + 1) * block - F.col("start")))
-    pieces = placed.join(drawn, ["s", "blk"]).withColumn("hi", F.least("hi", F.col("lo") + F.col("most") - F.col("at"))).where("hi > lo")
+    # The slots' number isn't known to the planner, which would take the few counts they come from for their size
+    pieces = placed.join(drawn.hint("merge"), ["s", "blk"]).withColumn("hi", F.least("hi", F.col("lo") + F.col("most") - F.col("at"))).where("hi > lo")
     return sources.drop("s"), pieces.select("uid", "epoch", "lo", "hi", "shard", "slot")
 
 
@@ -161,35 +162,37 @@ def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), fraction:
     import re
 
     names = docs.columns
-    kept = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("uid")))
-    doc = F.col("doc")
-    text = doc[text_col].cast("string")
-    mark = F.crc32(F.encode(F.coalesce(text, F.lit("")), "utf-8"))
-    rows = materialize(kept.select("uid", doc[id_col].alias("id"), doc[source_col].cast("string").alias("src"), words(text).alias("size"), mark.alias("mark")))
+    rest = F.struct(*[F.col(f"`{c}`") for c in names if c != text_col])
+    kept = materialize(docs.select(rest.alias("rest"), F.col(f"`{text_col}`").cast("string").alias("text"), F.monotonically_increasing_id().alias("uid")))
+    mark = F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    rows = materialize(kept.select("uid", F.col("rest")[id_col].alias("id"), F.col("rest")[source_col].cast("string").alias("src"), words("text").alias("size"), mark.alias("mark")))
     _, pieces = plan(rows, weights, fraction, block, per_shard, seed)
     spans = pieces.groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
 
     word = re.compile(WORD)
 
     def cut(text: str, spans: list[dict]) -> str:
-        at = [m.span() for m in word.finditer(text)]
         merged: list[list[int]] = []
         for s in spans:
             if merged and merged[-1][1] == s["lo"]:
                 merged[-1][1] = s["hi"]
             else:
                 merged.append([s["lo"], s["hi"]])
-        if merged == [[0, len(at)]]:
+        if merged == [[0, len(text.encode("utf-8", "surrogatepass").split())]]:
             return text
+        edges = {w for a, b in merged for w in (a, b - 1)}
+        at = {i: m.span() for i, m in enumerate(word.finditer(text)) if i in edges}
         return "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in merged)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            texts = [cut(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc", "__text"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):  # a slice at a time bounds what is held as Python objects
+                batch = whole.slice(start, 256)
+                texts = [cut(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["rest", "text"])
 
-    out = kept.join(spans, "uid").select("doc", text.alias("__text"), "spans")
-    out = out.mapInArrow(run, f"doc {kept.schema['doc'].dataType.simpleString()}, __text string")
-    return out.select(*[(F.col("__text") if c == text_col else F.col("doc")[c]).alias(c) for c in names])
+    out = kept.join(spans, "uid").select("rest", "text", "spans")
+    out = out.mapInArrow(run, f"rest {kept.schema['rest'].dataType.simpleString()}, text string")
+    return out.select(*[F.col("text" if c == text_col else "rest." + f"`{c}`").alias(c) for c in names])
