@@ -76,10 +76,22 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, texts: int, frequent: int = 1 << 17) -> Vocabulary:
-    """Totals and the most frequent words (``frequent`` of them, which bounds what is broadcast)."""
+    """Totals and the most frequent words, at most ``frequent`` of them, which bounds what is gathered and broadcast.
+
+    Words are first counted by size class, in steps of a 32nd of an octave. The least class from which on all words fit is the
+    cut, so the driver gets no more words than it keeps, from however many tasks.
+    """
     classes = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # SHARED rows at most
-    top = counts.orderBy(F.desc("n"), "token").limit(frequent).select("token", "n").toPandas()
-    words = dict(zip(map(bytes, top["token"]), top["n"].tolist(), strict=True))
+    step = F.floor(F.log2("n") * 32).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).collect()  # 64 * 32 rows at most
+    cut, held = None, 0
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        held += r["v"]
+        if held > frequent:
+            break
+        cut = r["step"]
+    top = counts.where(step >= (1 << 30 if cut is None else cut)).select("token", "n").collect()
+    words = dict(sorted(((bytes(r["token"]), r["n"]) for r in top), key=lambda x: (-x[1], x[0])))
     own = {w: i for i, w in enumerate(list(words)[:OWN])}
     total, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in classes:
@@ -127,9 +139,12 @@ def _batches(seqs: list[np.ndarray], most: int = 1 << 17) -> Iterator[list[int]]
 def forward(model: Model, seqs: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """log10 likelihood of each class sequence, by forward recursion scaled at every step.
 
-    With ``counts`` (start, move, emit), the backward recursion runs too and expected counts are added to them.
+    With ``counts`` (start, move, emit), the backward recursion runs too and expected counts are added to them. Each step is
+    scaled, so single precision will do for these.
     """
     result = np.zeros(len(seqs))
+    kind = np.float64 if counts is None else np.float32
+    begin, move_on, emits = model.start.astype(kind), model.move.astype(kind), model.emit.astype(kind)
     for group in _batches(seqs):
         lens = np.array([len(seqs[i]) for i in group])
         longest = int(lens[0])
@@ -138,23 +153,23 @@ def forward(model: Model, seqs: list[np.ndarray], counts: tuple[np.ndarray, np.n
             ids[: lens[k], k] = seqs[i]
         live = np.searchsorted(-lens, -np.arange(longest), side="left")  # sequences longer than t
         offsets = np.concatenate([[0], np.cumsum(live)])
-        alpha = np.empty((int(offsets[-1]), len(model.start)))
-        scale = np.empty(int(offsets[-1]))
+        alpha = np.empty((int(offsets[-1]), len(begin)), dtype=kind)
+        scale = np.empty(int(offsets[-1]), dtype=kind)
         flat = np.concatenate([ids[t, :n] for t, n in enumerate(live)]) if longest else np.zeros(0, dtype=np.int64)
-        emitted = model.emit[flat]
+        emitted = emits[flat]
         for t, n in enumerate(live):
             a, b = offsets[t], offsets[t + 1]
-            now = model.start * emitted[a:b] if t == 0 else (alpha[offsets[t - 1] : offsets[t - 1] + n] @ model.move) * emitted[a:b]
+            now = begin * emitted[a:b] if t == 0 else (alpha[offsets[t - 1] : offsets[t - 1] + n] @ move_on) * emitted[a:b]
             s = now.sum(axis=1)
             alpha[a:b] = now / s[:, None]
             scale[a:b] = s
-        logs = np.log10(scale)
+        logs = np.log10(scale.astype(np.float64))
         owner = np.concatenate([np.arange(n) for n in live]) if longest else np.zeros(0, dtype=np.int64)
         result[group] = np.bincount(owner, weights=logs, minlength=len(group))
         if counts is None:
             continue
         start, move, emit = counts
-        beta = np.ones((len(group), len(model.start)))
+        beta = np.ones((len(group), len(begin)), dtype=kind)
         gamma = alpha  # turned into posteriors from the end on
         pairs = np.zeros_like(move)
         for t in range(longest - 1, -1, -1):
@@ -164,11 +179,11 @@ def forward(model: Model, seqs: list[np.ndarray], counts: tuple[np.ndarray, np.n
                 c = offsets[t + 1]
                 ahead = emitted[c : c + m] * beta[:m] / scale[c : c + m, None]
                 pairs += alpha[a : a + m].T @ ahead
-                beta[:m] = ahead @ model.move.T
+                beta[:m] = ahead @ move_on.T
             gamma[a : a + n] = alpha[a : a + n] * beta[:n]
-        start += gamma[: live[0]].sum(axis=0) if longest else 0
+        start += gamma[: live[0]].sum(axis=0, dtype=np.float64) if longest else 0
         move += pairs * model.move
-        for s in range(len(model.start)):
+        for s in range(len(begin)):
             emit[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=len(emit))
     return result
 
@@ -221,41 +236,27 @@ def _encode(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
         v = held.value
         norm = v.class_norm
-        logs = {w: float(np.log10(n + 0.5)) for w, n in v.frequent.items()}
-        codes = {w: v.own.get(w) for w in v.own}
-
-        class Codes(dict):
-            def __missing__(self, token: bytes) -> int:
-                if len(self) > 1 << 18:
-                    self.clear()
-                    self.update(codes)
-                out = self[token] = shared_class(token)
-                return out
-
-        code = Codes(codes)
+        number = {w: i for i, w in enumerate(v.frequent)}  # the words with their own class come first
+        logs = np.log10(np.array([*v.frequent.values(), 0.5]) + 0.5)  # the last one is for all other words
+        logs[-1] = 0.0
+        classes = np.array([v.own.get(w, shared_class(w)) for w in number] + [END], dtype="<u2")
         rare_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("codes", "known", "logs", "own_logs", "norms", "rare")}
             for t in batch.column(3).to_pylist():
                 tokens = tokenize(t or "")
-                seq = np.array([code[w] for w in tokens] + [END], dtype="<u2")
+                at = np.array([number.get(w, -1) for w in tokens], dtype=np.int64)
+                missing = np.flatnonzero(at < 0).tolist()
+                others = [tokens[i] for i in missing]
+                seq = np.append(classes[at], np.uint16(END)).astype("<u2")
+                seq[missing] = [shared_class(w) for w in others]
+                gained = logs[at]
                 out["codes"].append(seq.tobytes())
-                known, total, own, rare = 0, 0.0, 0.0, []
-                for w, n in Counter(tokens).items():
-                    x = logs.get(w)
-                    if x is None:
-                        rare.append({"token": w, "n": n})
-                        continue
-                    known += n
-                    total += n * x
-                    if w in codes:
-                        own += n * x
-                out["known"].append(known)
-                out["logs"].append(total)
-                out["own_logs"].append(own)
-                shared = seq[(seq >= OWN) & (seq < END)]
-                out["norms"].append(float(norm[shared].sum()))
-                out["rare"].append(rare)
+                out["known"].append(len(tokens) - len(missing))
+                out["logs"].append(float(gained.sum()))
+                out["own_logs"].append(float(gained[seq[:-1] < OWN].sum()))
+                out["norms"].append(float(norm[seq[(seq >= OWN) & (seq < END)]].sum()))
+                out["rare"].append([{"token": w, "n": n} for w, n in Counter(others).items()])
             types = {"codes": pa.binary(), "known": pa.int64(), "logs": pa.float64(), "own_logs": pa.float64(), "norms": pa.float64(), "rare": rare_type}
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(out[k], types[k]) for k in types]], names=["uid", "id", "held", *types])
 
