@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,6 +63,14 @@ def release(df: DataFrame) -> None:
         forget(df.sparkSession, path)
 
 
+def give_back() -> None:
+    """Return memory that large arrays have left free to the system, where the C library can; otherwise it stays with the process."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def wide_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` so that AQE can split a hot key.
 

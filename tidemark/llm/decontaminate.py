@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize
+from .common import blocks, give_back, materialize
 
 #: Hashed terms, latent dimensions and the surplus of the random sketch.
 TERMS, DIMENSIONS, SURPLUS = 1 << 14, 128, 16
@@ -158,9 +158,10 @@ def latent_space(passages: DataFrame, idf: np.ndarray, more: list[np.ndarray], d
             a = _matrix(more[at : at + 512], idf)
             y = a @ q
             total += (y if small else a).T @ y
-        for p in passages.coalesce(FIT_TASKS).mapInArrow(run, "x binary").collect():
+        for p in passages.coalesce(FIT_TASKS).mapInArrow(run, "x binary").toLocalIterator():  # one matrix at a time
             total += np.frombuffer(p["x"], dtype=np.float32).reshape(total.shape)
         held.destroy()
+        give_back()
         return total
 
     q = np.random.default_rng(seed).standard_normal((TERMS, dimensions + SURPLUS)).astype(np.float32)

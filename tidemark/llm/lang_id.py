@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, give_back
 
 UNKNOWN = "und"
 _GOLDEN = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -122,11 +122,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ratio
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counted.join(totals, "lang").withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= floor)
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
-    kept = shares.join(top, "gram").where(F.col("share") >= ratio * F.col("top")).select("lang", "gram").toPandas()
-    langs = sorted(set(kept["lang"]))
-    index = {x: i for i, x in enumerate(langs)}
-    kept = kept.sort_values(["lang", "gram"])
-    return Filter(langs, kept["gram"].to_numpy(dtype=np.int64).view(np.uint64), kept["lang"].map(index).to_numpy(dtype=np.int64))
+    kept = shares.join(top, "gram").where(F.col("share") >= ratio * F.col("top")).groupBy("lang").agg(F.sort_array(F.collect_list("gram")).alias("grams")).orderBy("lang").collect()
+    langs = [r["lang"] for r in kept]
+    grams_of = [np.array(r["grams"], dtype=np.int64).view(np.uint64) for r in kept]
+    none = np.zeros(0, dtype=np.uint64)
+    model = Filter(langs, np.concatenate([none, *grams_of]), np.repeat(np.arange(len(langs)), [len(g) for g in grams_of]))
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Filter, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
