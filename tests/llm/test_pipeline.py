@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_dedup import brute_components, slow_fingerprint, slow_shard
 from test_models import speak
 
-from tidemark.llm import mixing
+from tidemark.llm import jaccard, mixing
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +72,40 @@ def test_empty_and_further_columns(spark, tmp_path) -> None:
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def near_rows(n: int = 250) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """Documents and copies of them at 5-word Jaccard 0.8 to 0.95, and the pairs of ids at 0.8 or more."""
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for i in range(n):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        copy = list(base)
+        similarity = rng.uniform(0.8, 0.95)
+        a = jaccard.shingles(" ".join(base))
+        while True:
+            last, at = list(copy), rng.randrange(len(copy))
+            copy[at : at + 1] = [f"x{rng.randrange(5000)}"]
+            b = jaccard.shingles(" ".join(copy))
+            if len(a & b) / len(a | b) < similarity:
+                break
+        if len(a & jaccard.shingles(" ".join(last))) < len(a):
+            pairs.append((2 * i, 2 * i + 1))
+            rows += [(2 * i, " ".join(base), "aa", "s", 0), (2 * i + 1, " ".join(last), "aa", "s", 0)]
+        else:
+            rows.append((2 * i, " ".join(base), "aa", "s", 0))
+    return rows, pairs
+
+
+def test_near_copies_at_jaccard(spark) -> None:
+    """Copies at 0.8 to 0.95 go; texts below 0.8 stay; a chain of copies is one group, though its ends differ."""
+    rows, pairs = near_rows()
+    words = [f"c{k}" for k in range(204)]
+    chain = [" ".join([f"d{k}" if k < 10 * i else w for k, w in enumerate(words)]) for i in range(12)]  # neighbours at 0.9
+    far = [" ".join(f"e{k}" for k in range(104)), " ".join(f"e{k}" if k < 82 else f"f{k}" for k in range(104))]  # at 0.64
+    rows += [(1000 + i, t, "aa", "s", 0) for i, t in enumerate(chain)] + [(2000 + i, t, "aa", "s", 0) for i, t in enumerate(far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert len(pairs) > 200 and sum(b in left for _, b in pairs) <= 0.01 * len(pairs)
+    assert all(a in left for a, _ in pairs) and {2000, 2001} <= left
+    assert [i for i in left if 1000 <= i < 2000] == [1000]
