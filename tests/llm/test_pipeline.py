@@ -109,3 +109,17 @@ def test_near_copies_at_jaccard(spark) -> None:
     assert len(pairs) > 200 and sum(b in left for _, b in pairs) <= 0.01 * len(pairs)
     assert all(a in left for a, _ in pairs) and {2000, 2001} <= left
     assert [i for i in left if 1000 <= i < 2000] == [1000]
+
+
+def test_near_duplicates_keep_null_and_repeated_ids(spark) -> None:
+    """Different texts all stay whatever their ids; of a group the first by id, text and source stays."""
+    rng = random.Random(22)
+    own = [speak(rng, "bb", 40) for _ in range(8)]
+    upper = "".join(c.upper() if c.isascii() else c for c in own[6])
+    rows = [(None, own[k], "bb", "s1", 0) for k in range(3)] + [(7, own[k], "bb", "s1", 0) for k in range(3, 6)]
+    rows += [(None, own[6], "bb", "s1", 0), (9, own[6], "bb", "s2", 0), (9, own[6], "bb", "s1", 0), (9, upper, "bb", "s9", 0), (8, own[7], "bb", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [*rows[:6], (9, upper, "bb", "s9", 0), rows[-1]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
