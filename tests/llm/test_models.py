@@ -341,3 +341,41 @@ def test_words_and_their_terms() -> None:
     assert w.listed(0, 6) == [x.encode() for x in ["the", "cat", "sat", "on", "é", "mat"]] == w.listed(6, 12)
     assert w.terms[:6].tolist() == w.terms[6:12].tolist() and len(set(w.terms[:7].tolist())) >= 5
     assert decontaminate.Words.of([]).sizes.tolist() == [] and w.terms.max() < decontaminate.TERMS
+
+
+def found_and_accepted(spark, rows: list[tuple], items: list[tuple], fit_passages: int) -> tuple[set, set]:
+    """(document, item) as searched, and as ``contained`` accepts them for the whole text, item by item."""
+    docs = docs_frame(spark, [(i, t, "en", "s") for i, t in rows])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    index = decontaminate.build_index(docs, bench, fit_passages=fit_passages)
+    assert decontaminate.passage_counts(docs)[1] > fit_passages
+    found = decontaminate.search(docs, index).where("contaminated").collect()
+    accepted = set()
+    for i, t in rows:
+        w = decontaminate.Words.of([t])
+        listed = w.listed(0, len(w.terms))
+        accepted |= {(i, item.ident) for item in index.items if decontaminate.contained(item, listed, 0.8, 0.6)}
+    return {(r["doc_id"], int(k)) for r in found for k in r["items"].split(",")}, accepted
+
+
+def planted_texts(rng: random.Random, sizes: list[int], replaced: list[float], times: int) -> tuple[list[tuple], list[tuple]]:
+    """Items of each size, and documents of the same words with a paraphrase of an item each; its answer is kept."""
+    words = [f"{a}{b}{c}{d}" for a in "ktmpr" for b in "aeiou" for c in ("n", "st", "rd", "lle") for d in ("", "o", "is", "an")]
+    text = lambda n: [rng.choice(words) if rng.random() < 0.6 else rng.choice(["the", "of", "and", "in", "to"]) for _ in range(n)]
+    items, rows = [], []
+    for n in sizes:
+        for share in replaced:
+            for _ in range(times):
+                item, k = text(n), len(items)
+                copy = list(item)
+                for j in rng.sample(range(n - max(3, n // 5)), min(round(share * n), n - max(3, n // 5))):
+                    copy[j] = rng.choice(words)
+                items.append((k, " ".join(item)))
+                rows.append((k, " ".join(text(rng.randint(20, 300)) + copy + text(rng.randint(20, 300)))))
+    return rows, items
+
+
+def test_long_passages_are_found(spark) -> None:
+    rows, items = planted_texts(random.Random(31), [100, 150, 160, 180, 400, 1500], [0.0], 6)
+    found, accepted = found_and_accepted(spark, rows, items, 256)
+    assert found == accepted and {(i, i) for i, _ in rows} <= found

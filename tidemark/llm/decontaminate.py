@@ -219,6 +219,76 @@ def contained(item: Item, region: list[bytes], strong: float, weak: float) -> fl
     return best
 
 
+@dataclass
+class Gate:
+    """What a window must hold of the items of half to all of ``most`` words, for ``contained`` to accept a stretch of it."""
+
+    most: int
+    members: np.ndarray  # numbers of the items
+    sizes: np.ndarray  # words of each
+    column: np.ndarray  # of each term, those in many items first; -1 for terms of no item
+    often: np.ndarray  # terms in many items by items: how often the item has the term
+    start: np.ndarray  # postings of each further column: items and how often they have it
+    posted: np.ndarray
+    times: np.ndarray
+    answers: list[np.ndarray]  # columns of each item's answer
+
+    @staticmethod
+    def of(most: int, members: list[int], items: list[Item], terms: list[np.ndarray]) -> Gate:
+        n = len(members)
+        pairs, times = np.unique(np.concatenate([terms[k] * n + i for i, k in enumerate(members)]), return_counts=True)
+        term, item = np.divmod(pairs, n)
+        spread = np.bincount(term, minlength=TERMS)
+        order = np.argsort(-spread, kind="stable")[: np.count_nonzero(spread)]
+        column = np.full(TERMS + 1, -1)
+        column[order] = np.arange(len(order))
+        split = np.count_nonzero(spread > max(4, n // 16))
+        often = np.zeros((split, n), dtype=np.float32)
+        many = column[term] < split
+        often[column[term[many]], item[many]] = times[many]
+        rest = np.flatnonzero(~many)
+        rest = rest[np.argsort(column[term[rest]], kind="stable")]
+        start = np.concatenate([[0], np.cumsum(spread[order[split:]])])
+        answers = [np.unique(column[terms[k][-len(items[k].answer) :]]) for k in members]
+        return Gate(most, np.array(members), np.array([len(items[k].words) for k in members]), column, often, start, item[rest], times[rest], answers)
+
+    def windows(self, words: Words, strong: float, weak: float) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first, last) of all windows that may hold a stretch that ``contained`` accepts.
+
+        No stretch is longer than ``reach``, so each lies whole in a window of twice that. A stretch's words in order are no more than
+        the item's words whose terms occur in the window, and an answer in order has all its terms there: no match is lost.
+        """
+        n, split, wide = len(self.members), len(self.often), len(self.often) + len(self.start) - 1
+        reach = self.most + self.most // 2 + 1
+        at, owner = _starts(words.sizes, reach)
+        if not len(at):
+            return
+        begin = np.cumsum(words.sizes) - words.sizes
+        edges = np.append(at, len(words.terms))
+        joins = np.append(owner[1:] == owner[:-1], False)  # a window is a piece and the next one of its text
+        step = max(1, (1 << 21) // max(n, wide))
+        for low in range(0, len(at), step):
+            high = min(low + step, len(at))
+            end = min(high + 1, len(at))
+            col = self.column[words.terms[edges[low] : edges[end]]]
+            piece = np.repeat(np.arange(end - low), np.diff(edges[low : end + 1]))
+            pieces = np.zeros((end - low, wide), dtype=bool)
+            pieces.ravel()[(piece * wide + col)[col >= 0]] = True
+            held_terms = pieces[: high - low].copy()
+            next_ = np.flatnonzero(joins[low:high])
+            held_terms[next_] |= pieces[next_ + 1]
+            held = held_terms[:, :split].astype(np.float32) @ self.often
+            window, term = np.divmod(np.flatnonzero(held_terms[:, split:]), max(1, wide - split))
+            lists = self.start[term + 1] - self.start[term]
+            where = np.repeat(self.start[term] - (np.cumsum(lists) - lists), lists) + np.arange(int(lists.sum()))
+            held += np.bincount(np.repeat(window * n, lists) + self.posted[where], weights=self.times[where], minlength=held.size).reshape(held.shape)
+            for w, i in zip(*[x.tolist() for x in np.nonzero(held >= weak * self.sizes - 1e-3)], strict=True):
+                if held[w, i] >= strong * self.sizes[i] - 1e-3 or held_terms[w, self.answers[i]].all():
+                    t = int(owner[low + w])
+                    lo = int(at[low + w] - begin[t])
+                    yield t, int(self.members[i]), lo, min(lo + 2 * reach, int(words.sizes[t]))
+
+
 @dataclass
 class Index:
     """The benchmark in latent space."""
@@ -229,6 +299,14 @@ class Index:
     latent: np.ndarray  # items by dimensions
     terms: list[np.ndarray]  # distinct terms of each item
     weight: np.ndarray  # sum of idf over them
+    words: list[np.ndarray]  # the term of each word of each item
+
+    def gates(self) -> list[Gate]:
+        """The items by length, doubling from 8 words up to the longest."""
+        by: dict[int, list[int]] = {}
+        for i, item in enumerate(self.items):
+            by.setdefault(max(8, 1 << (len(item.words) - 1).bit_length()), []).append(i)
+        return [Gate.of(most, members, self.items, self.words) for most, members in sorted(by.items())]
 
     def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """The items in blocks: number of the first, latent vectors, and the idf of each item's terms, items by terms."""
@@ -257,7 +335,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id",
     latent = np.array([space[r].sum(axis=0) for r in rows], dtype=np.float32).reshape(len(rows), space.shape[1])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     distinct = [np.unique(r) for r in rows]
-    return Index(idf, np.vstack([space, np.zeros((1, space.shape[1]), dtype=np.float32)]), items, latent, distinct, np.array([idf[u].sum() for u in distinct]))
+    return Index(idf, np.vstack([space, np.zeros((1, space.shape[1]), dtype=np.float32)]), items, latent, distinct, np.array([idf[u].sum() for u in distinct]), rows)
 
 
 def candidates(index: Index, parts: list, words: Words, cosine: float, cover: float) -> Iterator[tuple[int, int, int, int]]:
@@ -306,13 +384,16 @@ def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float
     held = docs.sparkSession.sparkContext.broadcast(index)
     keep = [c for c in docs.columns if c not in ("contaminated", "n_items", "items", "best_share")]
 
-    def found(texts: list[str], parts: list) -> list[list[tuple]]:
+    def found(texts: list[str], parts: list, gates: list[Gate]) -> list[list[tuple]]:
         idx: Index = held.value
         words = Words.of(texts)
         begin = np.cumsum(words.sizes) - words.sizes
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for t, item, lo, hi in candidates(idx, parts, words, cosine, cover):
             spans.setdefault((t, item), []).append((lo, hi))
+        for gate in gates:
+            for t, item, lo, hi in gate.windows(words, strong, weak):
+                spans.setdefault((t, item), []).append((lo, hi))
         out: list[list[tuple]] = [[] for _ in texts]
         for (t, k), windows in spans.items():
             item, best, regions = idx.items[k], 0.0, []
@@ -331,11 +412,11 @@ def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        parts = list(held.value.parts())
+        parts, gates = list(held.value.parts()), held.value.gates()
         for batch in batches:
             hits: list[list[tuple]] = []
             for _, texts in blocks([batch.select(["__text"])], "__text", 1 << 19):
-                hits += found(texts, parts)
+                hits += found(texts, parts, gates)
             listed = [sorted({i for i, _ in h}) for h in hits]
             cols = [*[batch.column(i) for i in range(len(keep))], pa.array([bool(x) for x in listed]), pa.array([len(x) for x in listed], pa.int32()), pa.array([",".join(map(str, x)) for x in listed], pa.string()), pa.array([max((s for _, s in h), default=0.0) for h in hits], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "contaminated", "n_items", "items", "best_share"])
