@@ -379,3 +379,12 @@ def test_long_passages_are_found(spark) -> None:
     rows, items = planted_texts(random.Random(31), [100, 150, 160, 180, 400, 1500], [0.0], 6)
     found, accepted = found_and_accepted(spark, rows, items, 256)
     assert found == accepted and {(i, i) for i, _ in rows} <= found
+
+
+def test_all_that_the_check_accepts_is_found(spark) -> None:
+    """Short passages word by word, and paraphrases with 30 and 38 percent of the words replaced: just what brute force accepts."""
+    rows, items = planted_texts(random.Random(32), [5, 6, 8, 10], [0.0], 20)
+    more, others = planted_texts(random.Random(33), [15, 20, 24, 30, 45, 60, 90, 130], [0.3, 0.38], 6)
+    rows, items = [*rows, *((i + 500, t) for i, t in more)], [*items, *((i + 500, t) for i, t in others)]
+    found, accepted = found_and_accepted(spark, rows, items, 256)
+    assert found == accepted and {(i, i) for i, _ in rows if i < 500} <= found

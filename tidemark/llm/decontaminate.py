@@ -397,8 +397,9 @@ def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float
         out: list[list[tuple]] = [[] for _ in texts]
         for (t, k), windows in spans.items():
             item, best, regions = idx.items[k], 0.0, []
+            step = max(1, len(item.words) // 4)  # regions begin where the stretches of the whole text do
             for lo, hi in sorted(windows):
-                lo, hi = max(0, lo - len(item.words)), min(hi + len(item.words), int(words.sizes[t]))
+                lo, hi = max(0, lo - len(item.words)) // step * step, min(hi + len(item.words), int(words.sizes[t]))
                 if regions and lo <= regions[-1][1]:
                     regions[-1][1] = max(hi, regions[-1][1])
                 else:
@@ -430,8 +431,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """All rows and columns of ``docs`` with contaminated, n_items, items and best_share.
 
     Each text is cut into overlapping windows of 16, 32 and 64 words. A window within ``cosine`` of a benchmark passage in latent
-    space is a candidate. It is held against the passage word by word: a text is contaminated if a stretch of 1.5 times the
-    passage's length has ``strong`` of its words in order, or ``weak`` of them and its answer (its last words).
+    space is a candidate; so is every window, of a length that follows the passage's, with enough of the passage's words in any
+    order for the check to accept it. A candidate is held against the passage word by word: a text is contaminated if a stretch of
+    1.5 times the passage's length has ``strong`` of its words in order, or ``weak`` of them and its answer (its last words). What is
+    found is just what this check finds in whole texts, passage by passage.
 
     Words are lower-cased, and ASCII punctuation doesn't count. Benchmark passages of under five words are never found. A
     null or empty text is clean, as is every text if the benchmark is empty. Rows are handled each for itself, so repeated rows
