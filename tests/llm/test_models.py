@@ -196,6 +196,19 @@ def test_page_text(spark) -> None:
     assert html_text.extract(spark.createDataFrame([], pages.schema)).count() == 0
 
 
+def test_end_tags_at_any_depth() -> None:
+    """Lists and tables whose end tags are left out, and deep nesting, hide nothing that comes after them."""
+    words = lambda page: " ".join(" ".join(t for k, t, _ in html_text.tokens(page) if k == html_text.WORDS).split())
+    inside = lambda page: " ".join(" ".join(t for k, t, i in html_text.tokens(page) if k == html_text.WORDS and i).split())
+    for n in (3, 197, 198, 1000):
+        assert words("<nav><ul>" + "<li>menu" * n + "</ul></nav><article><p>The text</article>") == "The text"
+        assert words("<aside>" + "<b>" * n + "</aside>kept") == "kept"
+        assert inside("<article><table>" + "<tr><td>in<td>in" * n + "</table></article>out") == " ".join(["in"] * 2 * n)
+        assert words("<p hidden>" + "<b>" * n + "gone<p>kept") == "kept"
+    assert words('<ul><li class="share">gone<li>kept<ul><li>inner</ul><li class="ad"><div>gone<li>last</ul>') == "kept inner last"
+    assert words('<dl><dt hidden>gone<dd>kept<dt>more</dl><table><tr hidden><td>gone<tr><td hidden>gone<table><tr><td>gone</table><td>cell</table>') == "kept more cell"
+
+
 def test_best_run_against_all_runs() -> None:
     rng = random.Random(3)
     for _ in range(300):

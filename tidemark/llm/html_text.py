@@ -18,6 +18,10 @@ BLOCK = frozenset("address article aside blockquote body br button caption cente
 #: Elements that never hold an article's text, and those that do when a page marks them.
 CLUTTER = frozenset("nav aside form footer menu button dialog".split())
 CONTENT = frozenset(("article", "main"))
+#: List items and table parts that end at the next one: by tag, what it ends. Blocks that don't keep a list item from ending.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
+CELLS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)}
+UNBOUND = frozenset("address div p".split())
 #: Words in class, id or role that mark clutter.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|complementary|consent|contentinfo|cookies?|disclaimer|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|"
@@ -47,11 +51,30 @@ def _clutter(tag: str, attrs: str, inside: bool) -> bool:
 def tokens(page: str) -> list[tuple[str, str, bool]]:
     """The page as (kind, text, inside): tags by name, text pieces as ``#word``, and ``#cut`` where clutter is left out.
 
-    Clutter goes with all it holds. An element that is never closed ends with its parent. ``inside`` is true within an article or main element.
+    Clutter goes with all it holds. An element that is never closed ends with its parent; a p, li, dt, dd, tr, td or th also ends at
+    the next one beside it. ``inside`` is true within an article or main element.
     """
     out: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are clutter
+    places: dict[str, list[int]] = {}  # where each tag's open elements are in the stack
+    within: list[int] = []  # where the block elements are, and those among them that bound a list item
+    bounds: list[int] = []
     deep = content = 0
+
+    def last(*names: str) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def close(at: int) -> None:
+        nonlocal deep, content
+        while len(stack) > at:
+            name, bad = stack.pop()
+            places[name].pop()
+            deep -= bad
+            content -= name in CONTENT
+            for kept in (within, bounds):
+                if kept and kept[-1] == len(stack):
+                    kept.pop()
+
     for m in TOKEN.finditer(page):
         tag = m["tag"]
         if tag is None:
@@ -63,25 +86,33 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             continue
         tag = tag.lower()
         if m["close"]:
-            at = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == tag), None)
-            if at is None:
+            at = last(tag)
+            if at < 0:
                 continue
-            for name, bad in stack[at:]:
-                deep -= bad
-                content -= name in CONTENT
-            del stack[at:]
+            close(at)
             if not deep:
                 out.append((tag, "", content > 0))
             continue
+        # An element whose end tag may be left out ends at the next one in the same parent
+        if tag == "p":
+            if within and stack[within[-1]][0] == "p":
+                close(within[-1])
+        elif tag in ENDS:
+            if bounds and stack[bounds[-1]][0] in ENDS[tag]:
+                close(bounds[-1])
+        elif tag in CELLS:
+            at = last(*CELLS[tag])
+            if at > last("table"):
+                close(at)
         bad = _clutter(tag, m["attrs"], content > 0)
-        if tag == "p" and stack:  # a paragraph ends the one that is open in the same parent
-            at = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 50), -1) if stack[i][0] in BLOCK), None)
-            if at is not None and stack[at][0] == "p":
-                deep -= sum(b for _, b in stack[at:])
-                del stack[at:]
         if not deep:
             out.append((CUT if bad else tag, "", content > 0))
         if tag not in VOID and not m["attrs"].endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                within.append(len(stack))
+                if tag not in UNBOUND:
+                    bounds.append(len(stack))
             stack.append((tag, bad))
             deep += bad
             content += tag in CONTENT
