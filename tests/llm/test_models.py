@@ -401,3 +401,11 @@ def test_all_that_the_check_accepts_is_found(spark) -> None:
     rows, items = [*rows, *((i + 500, t) for i, t in more)], [*items, *((i + 500, t) for i, t in others)]
     found, accepted = found_and_accepted(spark, rows, items, 256)
     assert found == accepted and {(i, i) for i, _ in rows if i < 500} <= found
+
+
+def test_items_with_null_ids_contaminate(spark) -> None:
+    passages = ["one passage whose id is null stands here", "another passage without any id of its own", "this passage has the id seven after all"]
+    rows = [(1, f"before {passages[0]} after", "en", "s"), (2, " ".join(passages), "en", "s"), (3, "nothing of the kind is in this text", "en", "s")]
+    bench = spark.createDataFrame([(None, passages[0]), (None, passages[1]), (7, passages[2])], "item_id long, text string")
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["items"]) for r in decontaminate.decontaminate(docs_frame(spark, rows), bench).collect()}
+    assert got == {1: (True, 1, ""), 2: (True, 2, "7"), 3: (False, 0, "")}

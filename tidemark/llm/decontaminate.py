@@ -175,7 +175,7 @@ def latent_space(passages: DataFrame, idf: np.ndarray, more: list[np.ndarray], d
 class Item:
     """A benchmark passage as words, and the bits at which each word stands."""
 
-    ident: int
+    ident: int | None
     words: list[bytes]
     masks: dict[bytes, int]
 
@@ -324,7 +324,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id",
     """
     df, n = passage_counts(docs, text_col)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32).clip(0)
-    pairs = benchmark.select(F.col(id_col), F.col(item_col).cast("string")).where(F.col(id_col).isNotNull()).distinct().orderBy(id_col, item_col).collect()
+    pairs = benchmark.select(F.col(id_col), F.col(item_col).cast("string")).distinct().orderBy(id_col, item_col).collect()
     words = Words.of([r[1] or "" for r in pairs])
     ends = np.cumsum(words.sizes)
     long = [(r[0], int(e - m), int(e)) for r, e, m in zip(pairs, ends, words.sizes, strict=True) if m >= 5]
@@ -418,8 +418,8 @@ def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float
             hits: list[list[tuple]] = []
             for _, texts in blocks([batch.select(["__text"])], "__text", 1 << 19):
                 hits += found(texts, parts, gates)
-            listed = [sorted({i for i, _ in h}) for h in hits]
-            cols = [*[batch.column(i) for i in range(len(keep))], pa.array([bool(x) for x in listed]), pa.array([len(x) for x in listed], pa.int32()), pa.array([",".join(map(str, x)) for x in listed], pa.string()), pa.array([max((s for _, s in h), default=0.0) for h in hits], pa.float64())]
+            listed = [sorted({i for i, _ in h}, key=lambda i: (i is None, *(() if i is None else (i,)))) for h in hits]  # ids of one type; null is last
+            cols = [*[batch.column(i) for i in range(len(keep))], pa.array([bool(x) for x in listed]), pa.array([len(x) for x in listed], pa.int32()), pa.array([",".join(str(i) for i in x if i is not None) for x in listed], pa.string()), pa.array([max((s for _, s in h), default=0.0) for h in hits], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "contaminated", "n_items", "items", "best_share"])
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
@@ -436,8 +436,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     1.5 times the passage's length has ``strong`` of its words in order, or ``weak`` of them and its answer (its last words). What is
     found is just what this check finds in whole texts, passage by passage.
 
-    Words are lower-cased, and ASCII punctuation doesn't count. Benchmark passages of under five words are never found. A
-    null or empty text is clean, as is every text if the benchmark is empty. Rows are handled each for itself, so repeated rows
-    stay. Columns named like the outputs are replaced. An empty table gives no rows.
+    Words are lower-cased, and ASCII punctuation doesn't count. Benchmark passages of under five words are never found. Those
+    with a null id count like any other, all as one item in n_items, but have no id to list in items. A null or empty text is
+    clean, as is every text if the benchmark is empty. Rows are handled each for itself, so repeated rows stay. Columns named like the outputs are replaced. An empty table gives no rows.
     """
     return search(docs, build_index(docs, benchmark, text_col=text_col), text_col, cosine, cover, strong, weak)
