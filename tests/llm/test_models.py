@@ -409,3 +409,9 @@ def test_items_with_null_ids_contaminate(spark) -> None:
     bench = spark.createDataFrame([(None, passages[0]), (None, passages[1]), (7, passages[2])], "item_id long, text string")
     got = {r["doc_id"]: (r["contaminated"], r["n_items"], r["items"]) for r in decontaminate.decontaminate(docs_frame(spark, rows), bench).collect()}
     assert got == {1: (True, 1, ""), 2: (True, 2, "7"), 3: (False, 0, "")}
+
+
+def test_copies_of_one_document_keep_their_secret(spark) -> None:
+    one, wide = "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "ghp_99C7e42F292c6912E7710c838347Ae178B4b"
+    rows = [(1, f"key {one}", "en", "s1"), (2, f"key {one}", "en", "s2"), (3, f"a {wide}", "en", "s1"), (4, f"b {wide}", "en", None)]
+    assert {r["doc_id"]: r["n_live"] for r in secrets.secret_scan(docs_frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}

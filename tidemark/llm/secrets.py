@@ -49,12 +49,13 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, st
     return sorted(base), values
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", most_owners: int = 1, most_repositories: int = 1) -> DataFrame:
     """id, n_assign, n_access, n_hex, n_live, base_sha256, spans of each row of ``docs``.
 
     Base spans come from the patterns alone. Values that look random are then counted over the whole corpus by hash: in how many
-    repositories (documents) and at how many owners (``owner_col``) they occur. A value found at over ``most_owners`` owners
-    is a widely copied example; any other is specific to its owner, and its span is added as ``live``. ``spans`` lists all
+    repositories (documents; those of equal text count once) and at how many owners (``owner_col``) they occur. A value found in over
+    ``most_repositories`` of them at over ``most_owners`` owners is a widely copied example; any other is specific to its
+    owner or its document, and its span is added as ``live``. ``spans`` lists all
     as kind:start:end, by start, then kind; offsets are code points, the end exclusive. Only hashes leave a document.
 
     A null text is empty and has no spans. Null owners count as one owner. Repeated rows each get their result. An empty table
@@ -69,21 +70,23 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             scanned = [scan(t or "") for t in batch.column(2).to_pylist()]
             digests = [hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in s).encode()).hexdigest() for s, _ in scanned]
+            texts = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass")).hexdigest()[:32] for t in batch.column(2).to_pylist()]
             cols = [
-                batch.column(0), batch.column(1), batch.column(3), pa.array(digests, pa.string()),
+                batch.column(0), batch.column(1), batch.column(3), pa.array(digests, pa.string()), pa.array(texts, pa.string()),
                 pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in s] for s, _ in scanned], span),
                 pa.array([[{"start": a, "end": b, "hash": h} for a, b, h in v] for _, v in scanned], value),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["uid", "id", "owner", "base_sha256", "base", "found"])
+            yield pa.RecordBatch.from_arrays(cols, names=["uid", "id", "owner", "base_sha256", "same", "base", "found"])
 
     chosen = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(owner_col).cast("string").alias("owner"))
     kind = chosen.schema["id"].dataType.simpleString()
-    rows = materialize(chosen.mapInArrow(run, f"uid long, id {kind}, owner string, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,hash:string>>"))
+    rows = materialize(chosen.mapInArrow(run, f"uid long, id {kind}, owner string, base_sha256 string, same string, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,hash:string>>"))
 
-    values = rows.select("uid", "id", "owner", F.explode("found").alias("v")).select("uid", "id", "owner", "v.*")
-    by_owner = values.groupBy("hash", "owner", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    spread = by_owner.groupBy("hash").agg(F.sum("repos").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-    live = wide_join(values.select("uid", "start", "end", "hash"), spread.where(F.col("owners") <= most_owners).select("hash"), ["hash"])
+    values = rows.select("uid", "owner", "same", F.explode("found").alias("v")).select("uid", "owner", "same", "v.*")
+    owners = values.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
+    repositories = values.select("hash", "same").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("repositories"))
+    own = wide_join(owners, repositories, ["hash"]).where((F.col("owners") <= most_owners) | (F.col("repositories") <= most_repositories))
+    live = wide_join(values.select("uid", "start", "end", "hash"), own.select("hash"), ["hash"])
     live = live.groupBy("uid").agg(F.collect_list(F.struct("start", F.lit(3).alias("kind"), "end")).alias("live"))
     out = rows.join(live, "uid", "left").withColumn("live", F.coalesce("live", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
     names = F.array(*[F.lit(k) for k in KINDS])
