@@ -8,14 +8,14 @@ import struct
 import threading
 
 import pytest
-from test_engine import ALL, DOCS, EXPORT, Clock, doc
+from test_engine import ALL, BOOKS, SHELVE, Clock, book
 
 from tidemark.__main__ import main
 from tidemark.engine import NANOS, TemporalEngine
-from tidemark.plans.parser import PolicyError
+from tidemark.errors import PolicyError
 from tidemark.sources.wire import MAX_FRAME, Server, call, read_frame, write_frame
 
-WIRE = {"action": "Action::Read", "kind": "request", "principal": 'User::"alice"', "resource": 'Doc::"d"', "logged": {"input": {"doc": "x", "score": 1.50}}, "context": {"input": {"doc": "x"}}}
+WIRE = {"action": "Action::Lend", "kind": "request", "principal": 'Member::"kim"', "resource": 'Book::"b"', "logged": {"input": {"book": "atlas", "score": 1.50}}, "context": {"input": {"book": "atlas"}}}
 
 
 def test_frames() -> None:
@@ -42,17 +42,17 @@ def served(tmp_path):
 def test_server(served) -> None:
     engine, data, control = served
     assert call(data, {"op": "ping"}) == {"ok": "pong"}
-    minted = call(control, {"op": "install", "policies": ALL + EXPORT, "action_schema": DOCS})["minted"]
+    minted = call(control, {"op": "install", "policies": ALL + SHELVE, "action_schema": BOOKS})["minted"]
     got = call(data, {"op": "submit", "event": WIRE})
     assert got["decision"]["decision"] == "allow" and got["decision"]["reason"][0]["id"] == minted[0]
-    assert call(data, {"op": "submit", "event": WIRE | {"action": "Action::Export"}})["decision"]["decision"] == "deny"
+    assert call(data, {"op": "submit", "event": WIRE | {"action": "Action::Shelve"}})["decision"]["decision"] == "deny"
     assert call(data, {"op": "submit", "event": WIRE | {"kind": "seen"}})["decision"] is None
-    assert "d:1.5" in engine.histories['e:User::"alice"'].rows[0]["logged"].values()
+    assert "d:1.5" in engine.histories['e:Member::"kim"'].rows[0]["logged"].values()
     assert [p["id"] for p in call(control, {"op": "list", "max_results": 1, "after": minted[0]})["policies"]] == [minted[1]]
-    assert call(control, {"op": "get_policy_by_id", "id": minted[1]})["statement"] == EXPORT
+    assert call(control, {"op": "get_policy_by_id", "id": minted[1]})["statement"] == SHELVE
     assert call(control, {"op": "batch", "verbs": [{"verb": "delete", "token": minted[1]}]})["minted"] == []
     assert "error" in call(control, {"op": "batch", "verbs": [{"verb": "drop"}]}) and "error" in call(data, {"op": "nope"})
-    assert call(control, {"op": "status"})["policies"] == 1 and call(control, {"op": "get_schema"})["action_schema"] == DOCS
+    assert call(control, {"op": "status"})["policies"] == 1 and call(control, {"op": "get_schema"})["action_schema"] == BOOKS
     assert "pruned" in call(control, {"op": "checkpoint"}) and call(control, {"op": "get_policy"})["source"] == ALL
     before = engine.log.next
     threads = [threading.Thread(target=lambda: [call(data, {"op": "submit", "event": WIRE}) for _ in range(10)]) for _ in range(4)]
@@ -67,7 +67,7 @@ def test_command_line(served, tmp_path, capsys) -> None:
     _, data, control = served
     at = ["--data", data, "--control", control]
     (tmp_path / "p").write_text(ALL)
-    (tmp_path / "s").write_text(DOCS)
+    (tmp_path / "s").write_text(BOOKS)
     (tmp_path / "e").write_text(json.dumps(WIRE))
     assert main([*at, "policy", "install", str(tmp_path / "p"), "--action-schema", str(tmp_path / "s")]) == 0
     assert main([*at, "submit", str(tmp_path / "e")]) == 0 and main([*at, "ping"]) == 0 and main([*at, "status"]) == 0
@@ -81,10 +81,10 @@ def test_durability_modes(tmp_path) -> None:
     assert e.durability() == (1, float("inf"))
     e.install(ALL)
     e.set_durability(100)
-    e.submit(doc("Read"))
+    e.submit(book("Lend"))
     assert e.log._waiting == 1
     e.set_durability(100, 0.0)
-    e.submit(doc("Read"))
+    e.submit(book("Lend"))
     assert e.log._waiting == 0
     e.close()
 
@@ -92,21 +92,21 @@ def test_durability_modes(tmp_path) -> None:
 def test_stale_histories_go(tmp_path) -> None:
     clock = Clock()
     e = TemporalEngine(None, str(tmp_path), clock)
-    e.install(ALL + EXPORT, DOCS)
+    e.install(ALL + SHELVE, BOOKS)
     from tidemark.functions.values import Uid
 
     for i in range(5):
-        e.submit(doc("Read", principal=Uid("User", f"u{i}")))
+        e.submit(book("Lend", principal=Uid("Member", f"u{i}")))
     clock.now = 25 * 3600 * NANOS
-    e.submit(doc("Read"))
+    e.submit(book("Lend"))
     assert e.status()["shards"] == 6 and e.maintain_all() == 5 and e.status()["shards"] == 1
     e.close()
 
 
 def test_a_snapshot_for_other_conditions_is_refused(tmp_path) -> None:
     e = TemporalEngine(None, str(tmp_path), Clock())
-    e.install(ALL + EXPORT, DOCS)
-    e.submit(doc("Read"))
+    e.install(ALL + SHELVE, BOOKS)
+    e.submit(book("Lend"))
     e.checkpoint()
     e.close()
     file = next(tmp_path.glob("snapshot-*.json"))

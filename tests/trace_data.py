@@ -14,49 +14,49 @@ def random_trace(seed: int, n: int = 60, ties: bool = True) -> list[dict[str, An
     rng, ts, out = random.Random(seed), 0, []
     for _ in range(n):
         ts += rng.choice([0, 1, 1, 2, 5] if ties else [1, 2, 5])
-        action = rng.choice(["Login", "Logout", "Transfer", "Read"])
-        kind = "request" if action == "Read" else rng.choice(["request", "response"])
-        logged = {"user": rng.choice(USERS), "amount": rng.randint(-2, 4)}
+        action = rng.choice(["Enter", "Leave", "Move", "Look"])
+        kind = "request" if action == "Look" else rng.choice(["request", "response"])
+        logged = {"who": rng.choice(USERS), "units": rng.randint(-2, 4)}
         context = {"input": dict(logged)} if rng.random() < 0.85 else {}
         if rng.random() < 0.1:
-            logged.pop("user")
-        out.append({"ts": ts, "ns": "T", "action": action, "kind": kind, "principal": Uid("U", rng.choice(USERS)), "resource": Uid("G", "g"), "logged": {"input": logged}, "context": context, "entities": {}, "parents": {}})
+            logged.pop("who")
+        out.append({"ts": ts, "ns": "Site", "action": action, "kind": kind, "principal": Uid("U", rng.choice(USERS)), "resource": Uid("G", "g"), "logged": {"input": logged}, "context": context, "entities": {}, "parents": {}})
     return out
 
 
 def pred(action: str, *args: str, kind: str = "response") -> str:
-    return f'T::Action::"{action}"::{kind}{{ {", ".join(args)} }}'
+    return f'Site::Action::"{action}"::{kind}{{ {", ".join(args)} }}'
 
 
-ME = "input.user: context.input.user"
-LOGIN, LOGOUT = pred("Login", ME), pred("Logout", ME)
-LOGIN_U, LOGOUT_U, TRANSFER_U = (pred(a, "input.user: u") for a in ("Login", "Logout", "Transfer"))
+ME = "input.who: context.input.who"
+ENTER, LEAVE = pred("Enter", ME), pred("Leave", ME)
+ENTER_U, LEAVE_U, MOVE_U = (pred(a, "input.who: u") for a in ("Enter", "Leave", "Move"))
 
 CONDITIONS = [
-    f"formerly within 6s {LOGIN}",
-    f"previous within 2s {LOGIN}",
-    f"!{LOGOUT} since within 9s {LOGIN}",
-    f"({LOGIN} || {LOGOUT}) since within 9s {LOGOUT}",
-    f"exists (n: Long). ((count for (t: Timepoint). where (formerly within 9s ({LOGIN} && tp(t)))) == n && n > 1)",
-    f"(count for (u: String). where formerly within 6s {LOGIN_U}) >= 2",
-    f"exists (u: String). (formerly within 9s {LOGIN_U} && (count for (t: Timepoint). where (formerly within 9s ({TRANSFER_U} && tp(t)))) >= 1)",
-    f"formerly within 9s ({LOGIN} && (count for (t: Timepoint). where (formerly within 5s ({LOGOUT} && tp(t)))) >= 1)",
-    f"exists (s: Long). ((sum a for (a: Long), (t: Timepoint). where (formerly within 9s ({pred('Transfer', ME, 'input.amount: a')} && tp(t)))) == s && s > 2)",
-    f"(sum a for (a: Long). where (formerly within 9s {pred('Transfer', 'input.amount: a')})) > 3",
-    f"!(formerly within 6s {LOGIN})",
-    f"formerly within 6s !(formerly within 2s {LOGIN})",
-    f"(formerly within 3s {LOGIN}) || (previous within 3s {LOGOUT})",
-    f"exists (u: String). ((formerly within 9s {LOGIN_U}) && !(formerly within 3s {TRANSFER_U}))",
-    f"exists (u: String). ((!{TRANSFER_U} since within 12s {LOGIN_U}) && (!{LOGOUT} since within 9s {LOGIN}))",
-    f"exists (u: String). (({TRANSFER_U} || {LOGIN_U}) since within 12s {LOGIN_U})",
-    f'exists (u: String). ((formerly within 5s ({LOGIN_U} || {LOGIN})) && u != "a")',
-    f"exists (u: String). ((formerly within 5s ({LOGIN_U} || {LOGIN})) && formerly within 5s {TRANSFER_U})",
-    f"(context.input.amount + 2) * 3 > 9 && formerly within 100s {LOGIN}",
-    f"(count for (t: Timepoint). where ((formerly within 9s {LOGIN}) && tp(t))) == 1",
-    f"exists (t: Timepoint). ((formerly within 9s ({LOGIN} && tp(t))) && previous within 9s (tp(t)))",
-    f"formerly within 9s {pred('Transfer', 'input.amount: 2', 'input.user: _')}",
-    f"exists (u: String). (formerly within 20s ({pred('Transfer', 'input.user: u', 'input.amount: 1')} && formerly within 5s {LOGIN_U}))",
-    f"(count for (t: Timepoint). where (formerly within 9s ({LOGIN} && tp(t)))) > (count for (t: Timepoint). where (formerly within 9s ({LOGOUT} && tp(t))))",
-    f"!{LOGIN} && formerly within 4s {LOGOUT}",
-    f"previous within 3s (previous within 3s {LOGIN})",
+    f"formerly within 6s {ENTER}",
+    f"previous within 2s {ENTER}",
+    f"!{LEAVE} since within 9s {ENTER}",
+    f"({ENTER} || {LEAVE}) since within 9s {LEAVE}",
+    f"exists (n: Long). ((count for (t: Timepoint). where (formerly within 9s ({ENTER} && tp(t)))) == n && n > 1)",
+    f"(count for (u: String). where formerly within 6s {ENTER_U}) >= 2",
+    f"exists (u: String). (formerly within 9s {ENTER_U} && (count for (t: Timepoint). where (formerly within 9s ({MOVE_U} && tp(t)))) >= 1)",
+    f"formerly within 9s ({ENTER} && (count for (t: Timepoint). where (formerly within 5s ({LEAVE} && tp(t)))) >= 1)",
+    f"exists (s: Long). ((sum a for (a: Long), (t: Timepoint). where (formerly within 9s ({pred('Move', ME, 'input.units: a')} && tp(t)))) == s && s > 2)",
+    f"(sum a for (a: Long). where (formerly within 9s {pred('Move', 'input.units: a')})) > 3",
+    f"!(formerly within 6s {ENTER})",
+    f"formerly within 6s !(formerly within 2s {ENTER})",
+    f"(formerly within 3s {ENTER}) || (previous within 3s {LEAVE})",
+    f"exists (u: String). ((formerly within 9s {ENTER_U}) && !(formerly within 3s {MOVE_U}))",
+    f"exists (u: String). ((!{MOVE_U} since within 12s {ENTER_U}) && (!{LEAVE} since within 9s {ENTER}))",
+    f"exists (u: String). (({MOVE_U} || {ENTER_U}) since within 12s {ENTER_U})",
+    f'exists (u: String). ((formerly within 5s ({ENTER_U} || {ENTER})) && u != "a")',
+    f"exists (u: String). ((formerly within 5s ({ENTER_U} || {ENTER})) && formerly within 5s {MOVE_U})",
+    f"(context.input.units + 2) * 3 > 9 && formerly within 100s {ENTER}",
+    f"(count for (t: Timepoint). where ((formerly within 9s {ENTER}) && tp(t))) == 1",
+    f"exists (t: Timepoint). ((formerly within 9s ({ENTER} && tp(t))) && previous within 9s (tp(t)))",
+    f"formerly within 9s {pred('Move', 'input.units: 2', 'input.who: _')}",
+    f"exists (u: String). (formerly within 20s ({pred('Move', 'input.who: u', 'input.units: 1')} && formerly within 5s {ENTER_U}))",
+    f"(count for (t: Timepoint). where (formerly within 9s ({ENTER} && tp(t)))) > (count for (t: Timepoint). where (formerly within 9s ({LEAVE} && tp(t))))",
+    f"!{ENTER} && formerly within 4s {LEAVE}",
+    f"previous within 3s (previous within 3s {ENTER})",
 ]

@@ -24,6 +24,7 @@ def main(argv: list[str] | None = None) -> int:
     install.add_argument("policies")
     install.add_argument("--action-schema")
     install.add_argument("--event-schema")
+    install.add_argument("--macros")
     policy.add_parser("add").add_argument("policies")
     update = policy.add_parser("update")
     update.add_argument("id")
@@ -68,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.what in verbs:
             message = {"op": "batch", "verbs": [verbs[a.what]()]}
         elif a.what == "install":
-            message = {"op": "install", "policies": read(a.policies), "action_schema": read(a.action_schema) or "", "event_schema": read(a.event_schema)}
+            message = {"op": "install", "policies": read(a.policies), "action_schema": read(a.action_schema) or "", "event_schema": read(a.event_schema), "macros": read(a.macros)}
         elif a.what == "list":
             message = {"op": "list", "max_results": a.max_results, "after": a.after}
         else:

@@ -110,29 +110,13 @@ class Compiler:
         return [f"v_{v}" for v in found if not bound.get(v)]
 
     # Where a condition can have rows at all
-    def support(self, node: Any, hidden: frozenset = frozenset()) -> list[tuple[A.Pred, frozenset]] | None:
-        """Predicates of which one must match wherever the condition has rows; None if it can have rows anywhere."""
-        if isinstance(node, A.Pred):
-            return [(node, hidden)]
-        if isinstance(node, A.And):
-            left, right = self.support(node.left, hidden), self.support(node.right, hidden)
-            if left is None or right is None:
-                return left if right is None else right
-            return left if len(left) <= len(right) else right
-        if isinstance(node, A.Or):
-            left, right = self.support(node.left, hidden), self.support(node.right, hidden)
-            return None if left is None or right is None else left + right
-        if isinstance(node, A.Exists):
-            return self.support(node.child, hidden | {node.var})
-        return None
-
     def _spread(self, base: DataFrame, node: Any, bound: dict[str, bool], w: int, after: str | None = None) -> DataFrame:
         """All points (k, t) before those of ``base`` at which the condition may have rows; base's own become k0, t0, by depth.
 
         With ``after``, only points later than the number in that column.
         """
         n = self.depth
-        found = self.support(node)
+        found = N.support(node)
         how = F.col("tp") > F.col(after) if after else None
         if found is None:
             events = [(self.events.select(F.col("g").alias("e_g"), "tp", "ts"), [("g", "e_g")])]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from typing import Any
 
+from .errors import PolicyError
 from .plans import analysis as N
 from .plans import ast as A
-from .plans.parser import ActionSchema, EventSchema, PolicyError, parse_action_schema, parse_policies
+from .plans.parser import ActionSchema, EventSchema, parse_action_schema, parse_macros, parse_policies
 
 
 @dataclass(frozen=True)
@@ -85,8 +87,13 @@ class PolicySet:
     next_ordinal: int = 0
     schema_text: str = ""
     max_window: int = EventSchema().max_window
+    macro_text: str = ""
 
-    @property
+    @cached_property
+    def macros(self) -> dict[str, Any]:
+        return parse_macros(self.macro_text)
+
+    @cached_property
     def schema(self) -> ActionSchema:
         return parse_action_schema(self.schema_text)
 
@@ -97,7 +104,7 @@ class PolicySet:
         raise PolicyError(f"no policy {token!r}")
 
     def _parsed(self, source: str, single: bool) -> list[A.Policy]:
-        found = parse_policies(source)
+        found = parse_policies(source, self.macros)
         if not found:
             raise PolicyError("the source has no policy")
         if single and len(found) != 1:
@@ -113,11 +120,9 @@ class PolicySet:
         out, minted = self, []
         for verb in verbs:
             if isinstance(verb, Add):
-                for p in out._parsed(verb.source, False):
-                    token = mint(out.next_ordinal, p.text, ts)
-                    entry = Entry(out.next_ordinal, token, p.text, ts, ts, offset, p)
-                    out = replace(out, entries=(*out.entries, entry), next_ordinal=out.next_ordinal + 1)
-                    minted.append(token)
+                new = [Entry(n, mint(n, p.text, ts), p.text, ts, ts, offset, p) for n, p in enumerate(out._parsed(verb.source, False), out.next_ordinal)]
+                out = replace(out, entries=(*out.entries, *new), next_ordinal=out.next_ordinal + len(new))
+                minted += [e.token for e in new]
             elif isinstance(verb, Update):
                 old, (p,) = out.get(verb.token), out._parsed(verb.source, True)
                 new = replace(old, statement=p.text, policy=p, updated=ts, since=offset)
@@ -157,7 +162,8 @@ class PolicySet:
             out += [Leaf(f"{e.ordinal}:{i}", c, actions, e.since) for i, (_, c) in enumerate(e.policy.temporal)]
         return out
 
-    def horizon(self) -> int:
+    @cached_property
+    def reach(self) -> int:
         """Seconds of history that the policies can still need."""
         return max((N.horizon(c) for e in self.entries for _, c in e.policy.temporal), default=0)
 

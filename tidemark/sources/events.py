@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import PolicyError
 from ..functions.values import LONG_MAX, LONG_MIN, Dec, Uid, tag
-from ..plans.parser import PolicyError, parse_trace_line, unquote
+from ..plans.parser import parse_trace_line, unquote
 
 _BAG = T.MapType(T.StringType(), T.StringType())
 EVENT = T.StructType(
@@ -75,8 +76,17 @@ def from_rows(spark: SparkSession, events: list[Mapping[str, Any]]) -> DataFrame
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """A trace text file, a line for each event, as events without numbers; ``line`` orders them."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    """Trace text, a line for each event, as events without numbers; ``line`` orders them: by file name, then by place in the file.
+
+    A file's lines lie one after the other in the parts that Spark cuts it into, so the start of a line's part and the line's
+    number within it tell its place. Files are numbered by name, up to 2**15 of them, each of up to 2**48 bytes.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    files = text.select("file").distinct().select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("number"))
+    # Of one part the lines have rising numbers, whatever other parts its task reads before
+    first = text.groupBy("file", "start").agg(F.min("at").alias("first"))
+    lines = text.join(first, ["file", "start"]).join(files, "file")
+    lines = lines.withColumn("line", F.shiftleft("number", 48) + F.col("start") + F.col("at") - F.col("first")).where(F.trim("value") != "")
     schema = T.StructType([T.StructField("line", T.LongType()), *EVENT])
 
     def run(batches: Iterator) -> Iterator:

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from typing import Any, BinaryIO
 
 from ..engine import TemporalEngine
+from ..errors import PolicyError
 from ..functions.values import Dec
-from ..plans.parser import PolicyError
 from ..policy_store import VERBS, Entry
 from .events import read_wire_event
 
@@ -62,8 +62,9 @@ def handle_data(engine: TemporalEngine, body: bytes) -> dict[str, Any]:
     got = engine.submit(read_wire_event(event))
     decision = None
     if got.decision:
-        reason = [{"id": t, "annotations": dict(engine.attribution(t).annotations)} for t in got.decision.reason]
-        decision = {"decision": "allow" if got.decision.allowed else "deny", "reason": reason, "errors": list(got.decision.errors)}
+        found = engine.attribute(got.decision)
+        reason = [{"id": a.token, "annotations": dict(a.annotations)} for a in found.reason]
+        decision = {"decision": "allow" if found.allowed else "deny", "reason": reason, "errors": list(found.errors)}
     return {"offset": got.offset, "ts": got.ts, "decision": decision}
 
 
@@ -72,7 +73,7 @@ def handle_control(engine: TemporalEngine, body: bytes) -> dict[str, Any]:
     m = json.loads(body)
     op = m.get("op")
     if op == "install":
-        got = engine.install(m["policies"], m.get("action_schema", ""), m.get("event_schema"))
+        got = engine.install(m["policies"], m.get("action_schema", ""), m.get("event_schema"), m.get("macros"))
         return {"offset": got.offset, "minted": list(got.minted)}
     if op == "batch":
         verbs = []
@@ -112,7 +113,7 @@ def _handler(engine: TemporalEngine, answer: Callable[[TemporalEngine, bytes], d
                         with lock:
                             reply = answer(engine, body)
                     except (PolicyError, KeyError, TypeError, ValueError) as error:
-                        reply = {"error": str(error)}
+                        reply = {"error": str(error), "kind": type(error).__name__}
                     write_frame(self.wfile, reply)
             except (TimeoutError, PolicyError, OSError):
                 return

@@ -34,7 +34,7 @@ def decide_stream(events: DataFrame, policies: PolicySet, schema: EventSchema, r
     Events are grouped by the pins; without pins all events are one group. Within a micro-batch they are taken in the order of ``id``. A
     group's state is the part of its history that policies can still look at; what is older than their horizon goes with each batch.
     """
-    horizon = min(A.UNBOUNDED, policies.horizon() * rate)
+    horizon = min(A.UNBOUNDED, policies.reach * rate)
     columns = ["id", "ts", "ns", "action", "kind", "principal", "resource", "logged", "context", "attrs", "parents"]
     g = F.concat_ws("\x1f", *[F.coalesce(F.try_element_at("logged", F.lit(p)), F.lit(NONE)) for p in schema.pins]) if schema.pins else F.lit("")
     packed = events.select(g.alias("g"), "id", F.to_json(F.struct(*columns)).alias("event"))
@@ -43,7 +43,8 @@ def decide_stream(events: DataFrame, policies: PolicySet, schema: EventSchema, r
     def step(_: tuple, frames: Iterator, state: Any) -> Iterator:
         import pandas as pd
 
-        from ..engine import Evaluator, History
+        from ..engine import Evaluator
+        from ..plans.incremental import History
 
         at, held = state.get if state.exists else (0, "[]")
         history, evaluator, out = History(json.loads(held)), Evaluator(policies, rate), []
@@ -53,7 +54,7 @@ def decide_stream(events: DataFrame, policies: PolicySet, schema: EventSchema, r
                 row[key] = row.get(key) or {}
             row |= {"principal": row.get("principal"), "resource": row.get("resource"), "tp": at}
             at += 1
-            history.rows.append(row)
+            history.add(row)
             if row["kind"] in decides:
                 d = evaluator.decide(history)
                 out.append((row["id"], row["tp"], row["ts"], d.allowed, ",".join(d.reason), ",".join(d.errors)))
