@@ -277,35 +277,6 @@ def since_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(events(spark, sf_dir), source, since=300).select("event_id", "allowed")
 
 
-def retention_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions of the last week over events cut off at their horizon: the scan skips what no window reaches."""
-    e = events(spark, sf_dir)
-    last = e.agg(F.max("ts")).first()[0] or 0
-    start = last - 7 * 24 * HOUR
-    kept = e.where(F.col("ts") >= start - 6 * HOUR)
-    return holding(kept, CONDITIONS["formerly_corr"][0], (), f"kind = 'request' and ts >= {start}")
-
-
-def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with an event in the last day of the stream: the live shards, and their last stamps."""
-    e = events(spark, sf_dir)
-    last = e.agg(F.max("ts").alias("now"))
-    users = e.groupBy("user").agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_events"))
-    return users.crossJoin(last).where(F.col("last_ts") >= F.col("now") - F.lit(24 * HOUR)).select("user", "last_ts", "n_events")
-
-
-def log_replay_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose stamp isn't later than that of the event before them, in number order: joined by number, without one global sort."""
-    e = events(spark, sf_dir).select("tp", "ts")
-    before = e.select((F.col("tp") + 1).alias("tp"), F.col("ts").alias("before"))
-    return e.join(before, "tp", "left").agg(F.count(F.lit(1)).alias("n_events"), F.sum(F.when(F.col("ts") <= F.col("before"), 1).otherwise(0)).alias("n_bad"))
-
-
-def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of 20 users after user 5, in order, with how many events each has."""
-    return events(spark, sf_dir).where("user > 5").groupBy("user").agg(F.count(F.lit(1)).alias("n_events")).orderBy("user").limit(20)
-
-
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """principal in admins: users are in teams by their last digit, teams 0 to 2 are in admins."""
     source = '@id("m") permit (principal in Team::"admins", action == E::Action::"click", resource);'
@@ -324,7 +295,7 @@ def conv_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conv_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns after which, since the conversation's last assistant turn, no other user turn came before this one's successor."""
+    """User turns with an assistant's turn at most five turns before, and no system turn since then."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     points = c.where("role = 'user'").select("conv_id", F.col("turn").alias("k"), F.col("turn").alias("t"))
     rows = c.select("conv_id", F.col("turn").alias("tp"), F.col("turn").alias("ts"), "role")
@@ -360,10 +331,6 @@ OTHERS: dict[str, tuple[Query, str]] = {
         SELECT event_id, forbids IS NULL AS allowed, coalesce(forbids, 'p') AS reason FROM f""",
     ),
     "since_offset": (since_offset, f"{E_SQL} SELECT d.event_id, d.event_id >= 300 AND {_exists(48, 'purchase', U + ' AND x.event_id >= 300')} AS allowed FROM e d WHERE d.event_type = 'click'"),
-    "retention_prune": (retention_prune, f"{E_SQL} SELECT d.event_id, {_exists(6, 'purchase')} AS holds FROM e d WHERE d.event_type = 'click' AND d.t >= (SELECT max(t) FROM e) - {7 * 24 * HOUR}"),
-    "shard_counts": (shard_counts, f"{E_SQL} SELECT u AS user, max(t) AS last_ts, count(*) AS n_events FROM e GROUP BY u HAVING max(t) >= (SELECT max(t) FROM e) - {24 * HOUR}"),
-    "log_replay_order": (log_replay_order, f"{E_SQL}, l AS (SELECT t, lag(t) OVER (ORDER BY event_id) AS b FROM e) SELECT count(*) AS n_events, CAST(coalesce(sum(CASE WHEN t <= b THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_bad FROM l"),
-    "list_page": (list_page, f"{E_SQL} SELECT u AS user, count(*) AS n_events FROM e WHERE u > 5 GROUP BY u ORDER BY u LIMIT 20"),
     "membership": (membership, f"{E_SQL} SELECT event_id, u % 10 < 3 AS allowed FROM e WHERE event_type = 'click'"),
     "conv_previous": (conv_previous, "SELECT conv_id, turn, coalesce(lag(role) OVER w = 'assistant' AND turn - lag(turn) OVER w <= 1, false) AS holds FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"),
     "conv_since": (
