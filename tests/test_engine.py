@@ -338,3 +338,26 @@ def test_append_schema(engine) -> None:
 def test_many_leaves_share_one_plan_per_shape() -> None:
     forms = {N.shape(parse_condition(f'formerly within 1h Site::Action::"Enter"::response{{ input.user: "u{n}", input.server: context.input.server }}'))[0] for n in range(50)}
     assert len(forms) == 1
+
+
+def test_mixed_shapes_share_a_pass(spark, tmp_path) -> None:
+    """Fifty clauses of many shapes over the same two key sets: the plan reads the events once for each, and the decisions once; the result is the evaluator's."""
+    me, there = "input.who: context.input.who", "input.units: context.input.units"
+    site = lambda action, keys: f'Site::Action::"{action}"::response{{ {keys} }}'
+    shapes = []
+    for k in (me, there):
+        for w in (2, 5, 9, 14):
+            shapes += [f"formerly within {w}s {site('Enter', k)}", f"!(formerly within {w}s {site('Leave', k)})", f"!{site('Leave', k)} since within {w}s {site('Enter', k)}",
+                       f"(count for (t: Timepoint). where (formerly within {w}s ({site('Move', k)} && tp(t)))) >= 2", f"exists (n: Long). ((sum a for (a: Long), (t: Timepoint). where (formerly within {w}s ({site('Move', k + ', input.units: a')} && tp(t)))) == n && n > 3)",
+                       f"(formerly within {w}s {site('Move', k)}) && (count for (t: Timepoint). where (formerly within {w}s ({site('Enter', k)} && tp(t)))) < 3 || context.input.units == 4"]
+    shapes += [f"formerly within 7s {site('Look', me)}", f"(formerly within 7s {site('Enter', me)}) || (formerly within 3s {site('Leave', there)})"]
+    source = "".join(f'@id("s{i}") {"forbid" if i % 5 == 4 else "permit"} (principal, action == Site::Action::"Look", resource) when temporal {{ {c} }};' for i, c in enumerate(shapes))
+    assert len(shapes) == 50
+    events = random_trace(13, 70)
+    batch, single = _decisions(spark, source, events)
+    assert batch == single and len({b[1] for b in batch}) == 2
+    path = str(tmp_path / "trace")
+    from_rows(spark, events).write.parquet(path)
+    policies, _ = PolicySet().fold([Add(source)], 0, 0)
+    plan = decide(Trace(spark.read.parquet(path)), policies, EventSchema({"request": True, "response": False}, ()))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3

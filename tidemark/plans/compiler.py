@@ -40,8 +40,9 @@ class Compiler:
     The trace's numbers ``tp`` must be dense within each pin; ``id`` names an event in the whole trace.
     """
 
-    def __init__(self, trace: Trace, rate: int = 1, pins: tuple[str, ...] = (), fast: bool = True) -> None:
+    def __init__(self, trace: Trace, rate: int = 1, pins: tuple[str, ...] = (), fast: bool = True, grain: int | None = None) -> None:
         self.trace, self.rate, self.fast = trace, max(1, rate), fast
+        self._grain = grain
         df = trace.df
         if "id" not in df.columns:
             df = df.withColumn("id", F.col("tp"))
@@ -53,6 +54,13 @@ class Compiler:
     def ticks(self, window: int) -> int:
         return A.UNBOUNDED if window == A.UNBOUNDED else min(A.UNBOUNDED, window * self.rate)
 
+    @property
+    def grain(self) -> int:
+        """The time in which the trace has ``BUCKET_ROWS`` rows, from one look at its stamps (at windows above which buckets are cut finer)."""
+        if self._grain is None:
+            self._grain = self.trace.grain()
+        return self._grain
+
     # Parts of the trace
     def decisions(self, condition: Any, where: Column) -> DataFrame:
         """The first context: the decisions with the values that the condition reads of them."""
@@ -62,6 +70,14 @@ class Compiler:
     def _resolved(self, ref: A.Ref) -> Column:
         return self.trace.term(ref.root, ref.path)
 
+    def matching(self, pred: A.Pred) -> Column:
+        """Whether an event is one that the predicate may match: by its kind, literals and the fields that must be there."""
+        out = (F.col("ns") == pred.ns) & (F.col("action") == pred.action) & (F.col("kind") == pred.kind)
+        for path, term in pred.args:
+            value = self.trace.logged(path)
+            out = out & (F.coalesce(value == F.lit(tag(term.value)), F.lit(False)) if isinstance(term, A.Lit) else value.isNotNull())
+        return out
+
     def matches(self, pred: A.Pred) -> DataFrame:
         """Events that the predicate matches, whatever the decision: g, tp, ts, x_name for variables, y_i for values to be equal to r_i."""
         df = self.events.where((F.col("ns") == pred.ns) & (F.col("action") == pred.action) & (F.col("kind") == pred.kind))
@@ -181,8 +197,8 @@ class Compiler:
     def _formerly(self, node: A.Formerly, ctx: DataFrame, bound: dict[str, bool]) -> Found:
         w = self.ticks(node.window)
         pairs = self._closed(node.child, bound)
-        if pairs is not None and (pairs or self.pinned or w < A.UNBOUNDED // 2):
-            out = O.formerly(ctx, self._keyed(node.child, pairs), ["g", *[a for a, _ in pairs]], w, "__holds")
+        if pairs is not None:
+            out = O.formerly(ctx, self._keyed(node.child, pairs), ["g", *[a for a, _ in pairs]], w, "__holds", self.grain)
             return Found(out.where("__holds").drop("__holds"), bound)
         return self._over(node.child, ctx, bound, lambda base, b: self._spread(base, node.child, b, w))
 
@@ -219,11 +235,16 @@ class Compiler:
         w, n = self.ticks(node.window), self.depth
         anchor = self._closed(node.right, bound)
         stop = self._closed(node.left.child, bound) if isinstance(node.left, A.Not) else None
-        if anchor is not None and stop is not None and (self.pinned or w < A.UNBOUNDED // 2 or anchor and stop):
-            out = O.last_match(ctx, self._keyed(node.right, anchor), ["g", *[a for a, _ in anchor]], w, "__a")
-            out = O.last_match(out, self._keyed(node.left.child, stop), ["g", *[a for a, _ in stop]], w, "__v")
-            out = out.where("__a is not null and (__v is null or __v.tp <= __a.tp)").drop("__a", "__v")
-            return Found(out, bound)
+        if anchor is not None and stop is not None:
+            keys = ["g", *[a for a, _ in anchor]]
+            if anchor == stop:
+                out = O.since(ctx, self._keyed(node.right, anchor), self._keyed(node.left.child, stop), keys, w, "__holds", self.grain)
+                return Found(out.where("__holds").drop("__holds"), bound)
+            out = O.last_match(ctx, self._keyed(node.right, anchor), keys, w, "__a", self.grain)
+            out = O.last_match(out, self._keyed(node.left.child, stop), ["g", *[a for a, _ in stop]], w, "__v", self.grain)
+            return Found(out.where(O.unbroken(F.col("__a"), F.col("__v"))).drop("__a", "__v"), bound)
+        if anchor is not None and self._still(node.left):
+            return self._since_still(node, anchor, ctx, bound, w)
         base = list(dict.fromkeys([*self._columns(node.right, ctx, bound), *self._columns(node.left, ctx, bound)]))
         inner = {v: b for v, b in bound.items() if f"v_{v}" in base}
         spread = self._spread(ctx.select(*base).distinct(), node.right, inner, w)
@@ -258,6 +279,31 @@ class Compiler:
         out = kept.select(*[F.col(back.get(c, c)).alias(f"o_{c}") for c in base], *news).distinct()
         return Found(self._back(ctx, base, out, news), bound | found.bound)
 
+    def _still(self, node: Any) -> bool:
+        """Whether the condition looks at its own place alone, the same for all decisions and variables: a column of the events tells it."""
+        if isinstance(node, (A.And, A.Or)):
+            return self._still(node.left) and self._still(node.right)
+        if isinstance(node, A.Not):
+            return self._still(node.child)
+        return isinstance(node, A.Pred) and not any(isinstance(t, (A.Ref, A.Var)) for _, t in node.args)
+
+    def _told(self, node: Any) -> Column:
+        if isinstance(node, A.And):
+            return self._told(node.left) & self._told(node.right)
+        if isinstance(node, A.Or):
+            return self._told(node.left) | self._told(node.right)
+        if isinstance(node, A.Not):
+            return ~self._told(node.child)
+        return self.matching(node)
+
+    def _since_still(self, node: A.Since, anchor: list[tuple[str, str]], ctx: DataFrame, bound: dict[str, bool], w: int) -> Found:
+        """since whose left side a column of the events tells: it holds if it failed nowhere after the last anchor."""
+        keys = ["g", *[a for a, _ in anchor]]
+        out = O.last_match(ctx, self._keyed(node.right, anchor), keys, w, "__a", self.grain)
+        fails = self.events.where(~self._told(node.left)).select("g", "tp", "ts")
+        out = O.last_match(out, fails, ["g"], w, "__v", self.grain)
+        return Found(out.where(O.unbroken(F.col("__a"), F.col("__v"))).drop("__a", "__v"), bound)
+
     def _and(self, node: A.And, ctx: DataFrame, bound: dict[str, bool]) -> Found:
         left = self.compile(node.left, ctx, bound)
         return self.compile(node.right, left.df, left.bound)
@@ -361,7 +407,7 @@ class Compiler:
     def _aggregated(self, x: A.Agg, ctx: DataFrame, bound: dict[str, bool]) -> tuple[DataFrame, Column]:
         self.count = getattr(self, "count", 0) + 1
         out = f"z{self.count}"
-        if (fast := self._sliding(x, ctx, bound, out)) is not None:
+        if (fast := self._sliding(x, ctx, bound, out)) is not None or (fast := self._distinct(x, ctx, bound, out)) is not None:
             return fast, F.col(out)
         inner = {v: b for v, b in bound.items() if v not in x.names}
         base = [c for c in self._columns(x, ctx, bound) if c[:2] != "v_" or c[2:] in inner]
@@ -398,12 +444,34 @@ class Compiler:
         summed = [p for p, t in pred.args if isinstance(t, A.Var) and t.name == x.bound]
         w = self.ticks(body.window)
         pairs = self._closed(A.Pred(pred.ns, pred.action, pred.kind, tuple(args)), free)
-        if pairs is None or any(t == A.Var(moment) for _, t in pred.args) or len(summed) != (x.kind == "sum") or not (pairs or self.pinned or w < A.UNBOUNDED // 2):
+        if pairs is None or any(t == A.Var(moment) for _, t in pred.args) or len(summed) != (x.kind == "sum"):
             return None
         m = self.matches(pred)
         value = as_long(F.col(f"x_{x.bound}")) if summed else F.lit(1).cast("long")
         events = m.select("g", *[F.col(b).alias(a) for a, b in pairs], "tp", "ts", value.alias("__value"))
-        got = O.window_total(ctx, events, ["g", *[a for a, _ in pairs]], w, out, "__value" if summed else None)
+        got = O.window_total(ctx, events, ["g", *[a for a, _ in pairs]], w, out, "__value" if summed else None, self.grain)
         low, high = F.lit(LONG_MIN).cast("decimal(38,0)"), F.lit(LONG_MAX).cast("decimal(38,0)")
         clamped = F.least(F.greatest(F.col(out).cast("decimal(38,0)"), low), high).cast("long")
         return got.withColumn(out, long_tag(clamped))
+
+    def _distinct(self, x: A.Agg, ctx: DataFrame, bound: dict[str, bool], out: str) -> DataFrame | None:
+        """count over the different values that matching events of a window have in some fields, or the sum of such values: one running total."""
+        body = x.body
+        if not self.fast or not isinstance(body, A.Formerly) or not isinstance(body.child, A.Pred):
+            return None
+        pred = body.child
+        env = {v: b for v, b in bound.items() if v not in x.names}
+        free = {t.name for _, t in pred.args if isinstance(t, A.Var) and t.name not in env}
+        if free != set(x.names) or x.kind == "sum" and x.names != (x.bound,):
+            return None
+        pairs = self._closed(A.Pred(pred.ns, pred.action, pred.kind, tuple((p, t) for p, t in pred.args if not (isinstance(t, A.Var) and t.name in free))), env)
+        if pairs is None:
+            return None
+        m = self.matches(pred)
+        names = [f"x_{n}" for n in dict.fromkeys(x.names)]
+        value = F.struct(*names)
+        amount = as_long(F.col(names[0])) if x.kind == "sum" else F.lit(1)
+        events = m.select("g", *[F.col(b).alias(a) for a, b in pairs], "tp", "ts", value.alias("__values"), F.coalesce(amount.cast("long"), F.lit(0)).alias("__amount"))
+        got = O.window_distinct(ctx, events, ["g", *[a for a, _ in pairs]], self.ticks(body.window), "__values", out, self.grain, F.col("__amount"))
+        low, high = F.lit(LONG_MIN).cast("decimal(38,0)"), F.lit(LONG_MAX).cast("decimal(38,0)")
+        return got.withColumn(out, long_tag(F.least(F.greatest(F.col(out).cast("decimal(38,0)"), low), high).cast("long")))

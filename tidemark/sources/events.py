@@ -267,6 +267,21 @@ class Trace:
     logged_columns: dict[str, Column] | None = None
     context_columns: dict[str, Column] | None = None
     scope_columns: dict[str, Column] = field(default_factory=dict)
+    _grain: int | None = None
+
+    def over(self, df: DataFrame) -> Trace:
+        """The same fields over another frame of the stream's events; its grain stays the whole stream's."""
+        out = Trace(df, self.logged_columns, self.context_columns, self.scope_columns)
+        out._grain = self.grain()
+        return out
+
+    def grain(self) -> int:
+        """The time in which the trace has a bucket's rows, from its stamps alone: one small scan, once a trace."""
+        from ..operators.temporal import grain_of
+
+        if self._grain is None:
+            self._grain = grain_of(*self.df.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first())
+        return self._grain
 
     def logged(self, path: str) -> Column:
         if self.logged_columns is not None:
