@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import new_folder
+
 
 def dense_numbers(df: DataFrame, order: list[str], out: str, within: list[str] | None = None, start: int = 0) -> DataFrame:
     """Add ``out``: start, start + 1, ... in the order of ``order``, which must be total.
@@ -15,8 +17,10 @@ def dense_numbers(df: DataFrame, order: list[str], out: str, within: list[str] |
     if within:
         w = Window.partitionBy(*within).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
+    path = new_folder(df.sparkSession, "ranges")  # the ranges are cut from a sample: written once, they stay as they are when an executor is lost
     ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else ranged.cache()
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -200,8 +200,28 @@ class Compiler:
         if pairs is not None:
             out = O.formerly(ctx, self._keyed(node.child, pairs), ["g", *[a for a, _ in pairs]], w, "__holds", self.grain)
             return Found(out.where("__holds").drop("__holds"), bound)
+        if self._plainly(node.child, bound):
+            return self._reached(node.child, self.matches(node.child), ctx, bound, w)
         return self._over(node.child, ctx, bound, lambda base, b: self._spread(base, node.child, b, w))
 
+    def _plainly(self, node: Any, bound: dict[str, bool]) -> bool:
+        """Whether the condition is a predicate whose variables are each bound in all rows or in none."""
+        return self.fast and isinstance(node, A.Pred) and all(bound.get(t.name, True) for _, t in node.args if isinstance(t, A.Var))
+
+    def _reached(self, pred: A.Pred, m: DataFrame, ctx: DataFrame, bound: dict[str, bool], w: int, how: Column | None = None) -> Found:
+        """The context's rows with the variables of each matching event (``m``) in their window: one join by window and what is known."""
+        on, news = [("g", "e_g")], {}
+        for c in m.columns:
+            if c[:2] == "y_":
+                on.append((f"r{c[2:]}", c))
+            elif c[:2] == "x_":
+                if bound.get(c[2:]):
+                    on.append((f"v_{c[2:]}", c))
+                else:
+                    news[c[2:]] = c
+        pairs = O.range_join(ctx, m.withColumnRenamed("g", "e_g"), on, w, how)
+        return Found(pairs.select(*ctx.columns, *[F.col(c).alias(f"v_{v}") for v, c in news.items()]).distinct(), bound | dict.fromkeys(news, True))
+
     def _previous(self, node: A.Previous, ctx: DataFrame, bound: dict[str, bool]) -> Found:
         n, w = self.depth, self.ticks(node.window)
 
@@ -245,6 +265,10 @@ class Compiler:
             return Found(out.where(O.unbroken(F.col("__a"), F.col("__v"))).drop("__a", "__v"), bound)
         if anchor is not None and self._still(node.left):
             return self._since_still(node, anchor, ctx, bound, w)
+        if self._plainly(node.right, bound) and isinstance(node.left, A.Not) and isinstance(node.left.child, A.Pred):
+            own = {t.name for _, t in node.right.args if isinstance(t, A.Var)}
+            if all(not isinstance(t, A.Ref) and (not isinstance(t, A.Var) or t.name in own) for _, t in node.left.child.args):
+                return self._since_named(node, ctx, bound, w)
         base = list(dict.fromkeys([*self._columns(node.right, ctx, bound), *self._columns(node.left, ctx, bound)]))
         inner = {v: b for v, b in bound.items() if f"v_{v}" in base}
         spread = self._spread(ctx.select(*base).distinct(), node.right, inner, w)
@@ -304,6 +328,19 @@ class Compiler:
         out = O.last_match(out, fails, ["g"], w, "__v", self.grain)
         return Found(out.where(O.unbroken(F.col("__a"), F.col("__v"))).drop("__a", "__v"), bound)
 
+    def _since_named(self, node: A.Since, ctx: DataFrame, bound: dict[str, bool], w: int) -> Found:
+        """since where the anchor alone tells what breaks it: each anchor is looked up its first break, and stands up to there.
+
+        The first break after an anchor is the last one before it in a stream that runs backwards.
+        """
+        anchors, breaks = self.matches(node.right), self.matches(node.left.child)
+        keys = [c for c in breaks.columns if c not in ("tp", "ts")]
+        points = anchors.withColumn("k", -F.col("tp") - 1).withColumn("t", -F.col("ts"))
+        back = breaks.select(*keys, (-F.col("tp")).alias("tp"), (-F.col("ts")).alias("ts"))
+        found = O.last_match(points, back, keys, w, "__v", self.grain).drop("k", "t")
+        found = found.withColumn("__end", F.coalesce(-F.col("__v.tp"), F.lit(A.UNBOUNDED))).drop("__v")
+        return self._reached(node.right, found, ctx, bound, w, F.col("k") < F.col("__end"))
+
     def _and(self, node: A.And, ctx: DataFrame, bound: dict[str, bool]) -> Found:
         left = self.compile(node.left, ctx, bound)
         return self.compile(node.right, left.df, left.bound)
