@@ -5,12 +5,17 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
-import tempfile
+import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.storage import shared_dir
 
 #: Words are runs of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,18 +23,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 _made: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def forget(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table."""
     try:
@@ -57,18 +50,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def scratch(keep: Callable[[], list[DataFrame]]) -> Iterator[None]:
+    """Delete at the end what was materialized inside, but for the frames that ``keep`` names."""
+    start = len(_made)
+    yield
+    kept = {getattr(df, "tidemark_path", None) for df in keep()}
+    for entry in _made[start:]:
+        if entry[1] not in kept:
+            forget(*entry)
+            _made.remove(entry)
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a materialized frame that nothing reads any more."""
     if path := getattr(df, "tidemark_path", None):
         forget(df.sparkSession, path)
+        _made[:] = [x for x in _made if x[1] != path]
 
 
 def give_back() -> None:
-    """Return memory that large arrays have left free to the system, where the C library can; otherwise it stays with the process."""
+    """Return memory on the driver: what large arrays have left free, where the C library can; and let the JVM collect, which also lets Spark delete the shuffle files and broadcasts that nothing refers to any more."""
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def wide_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -105,6 +114,57 @@ def running_offset(df: DataFrame, group: list[str], order: list[str], value: str
     return joined.select(*[F.col(f"b.{c}") for c in df.columns], (F.col("t.__before") + F.col("b.__in")).alias(out))
 
 
+def fresh(names: list[str], wanted: str) -> str:
+    """``wanted``, or the first of ``wanted_2``, ... that is no name in use, whatever its case."""
+    used = {n.lower() for n in names}
+    return next(n for k in itertools.count(1) if (n := wanted if k == 1 else f"{wanted}_{k}").lower() not in used)
+
+
+def with_text_columns(docs: DataFrame, text_col: str, schema: str, work: Callable[[], Callable[[list[str]], list[tuple]]], limit: int = 1 << 20) -> DataFrame:
+    """All rows and columns of ``docs`` with the columns of ``schema``, worked out from the text (null: empty); columns of the same names are replaced.
+
+    ``work()`` is called once for each task, and gives a function from texts to rows. Only the text goes to Python, once, and only the results
+    come back. Columns are told apart by number inside, so no name of the input clashes with any.
+    """
+    fields = T._parse_datatype_string(schema)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        done = work()
+        target = [_arrow(f.dataType) for f in fields]
+        for column in columns:
+            rows: list[tuple] = []
+            for texts in _slices(column, limit):
+                rows += done(texts)
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(target)], names=fields.names)
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    found = F.arrow_udf(run, fields).asNondeterministic()(F.col(f"`{text_col}`").cast("string"))  # not copied into filters
+    names = [c for c in docs.columns if c not in fields.names]
+    made = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], found.alias("found"))
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *[F.col("found")[n].alias(n) for n in fields.names])
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+def _slices(column: pa.Array, limit: int) -> Iterator[list[str]]:
+    """The texts (null: empty) in order, in lists of about ``limit`` characters; a longer text stands alone."""
+    texts: list[str] = []
+    size = 0
+    for value in column:
+        t = value.as_py() or ""
+        if texts and size + len(t) > limit:
+            yield texts
+            texts, size = [], 0
+        texts.append(t)
+        size += len(t)
+    if texts:
+        yield texts
+
+
 def blocks(batches: Iterator, text: str, limit: int = 1 << 20) -> Iterator[tuple[list[dict], list[str]]]:
     """Rows of Arrow batches with their texts (null: empty), in blocks of about ``limit`` characters at most; a longer text stands alone."""
     rows: list[dict] = []

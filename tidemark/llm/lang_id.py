@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, give_back
+from .common import blocks, give_back, with_text_columns
 
 UNKNOWN = "und"
 _GOLDEN = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -134,25 +134,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ratio
 def predict(docs: DataFrame, model: Filter, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """All rows and columns of ``docs`` with the language and its score.
 
-    A text that is null or has no letter is ``und`` with score 0. Columns named like the outputs are replaced.
+    A text that is null or has no letter is ``und`` with score 0, as is every text if no language was learned. Of languages that hold as
+    many of a text's trigrams, the first by code point is given. Repeated rows each get their result. Columns named like the outputs are
+    replaced; no other name clashes with any. An empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of languages / floor
-    keep = [c for c in docs.columns if c not in (lang_out, score_out)]
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def work() -> Callable[[list[str]], list[tuple]]:
+        return lambda texts: list(zip(*held.value.decide(texts), strict=True))
 
-        for batch in batches:
-            cols, langs, scores = [batch.column(i) for i in range(len(keep))], [], []
-            for _, texts in blocks([batch.select(["__text"])], "__text"):
-                a, b = held.value.decide(texts)
-                langs += a
-                scores += b
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, lang_out, score_out])
-
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema + ', ' if schema else ''}`{lang_out}` string, `{score_out}` double")
+    return with_text_columns(docs, text_col, f"`{lang_out}` string, `{score_out}` double", work)
 
 
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
