@@ -99,21 +99,3 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.size("live").cast("long").alias("n_live"), "base_sha256", F.array_join(listed, ",").alias("spans"),
     )
-
-
-def owner_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """hash, repositories, owners of every candidate value of the corpus."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for ident, t, owner in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if values := scan(t or "")[1]:
-                    n = len(values)
-                    yield pa.RecordBatch.from_arrays([pa.array([ident] * n, batch.column(0).type), pa.array([owner] * n, pa.string()), pa.array([h for *_, h in values])], names=["id", "owner", "hash"])
-
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(owner_col).cast("string").alias("owner"))
-    found = chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, owner string, hash string")
-    by_owner = found.distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("hash").agg(F.sum("repos").alias("repositories"), F.count(F.lit(1)).alias("owners"))
