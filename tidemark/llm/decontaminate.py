@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, give_back, materialize
+from .common import blocks, give_back, materialize, release, with_text_columns
 
 #: Hashed terms, latent dimensions and the surplus of the random sketch.
 TERMS, DIMENSIONS, SURPLUS = 1 << 14, 128, 16
@@ -17,7 +20,11 @@ TERMS, DIMENSIONS, SURPLUS = 1 << 14, 128, 16
 PASSAGE, CHUNK, WINDOWS = 32, 8, ((2, 1), (4, 2), (8, 2))
 #: At most about so many passages of the corpus fit the latent space; all passages are counted and searched.
 FIT_PASSAGES = 16_384
-#: Tasks that fit the space; each sends one matrix of terms by dimensions (9 MB) to the driver.
+#: Items of fewer words must occur word by word; items of fewer than the least say nothing and are left out.
+SHORT, LEAST = 5, 3
+#: Items that are searched at a time: what a task is sent and the driver holds is bounded by them.
+ITEMS_AT_A_TIME = 8_192
+#: Tasks that fit the space.
 FIT_TASKS = 3
 
 
@@ -116,24 +123,58 @@ def _passages(docs: DataFrame, text_col: str, share: float) -> DataFrame:
             found = [p.astype(np.int32).tobytes() for p in np.split(w.terms, at[1:])] if len(at) else []
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["terms"])
 
-    names = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    names = [c for c, kind in docs.dtypes if "map<" not in kind]
     chosen = docs.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(1 << 32)) < most)
     return chosen.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "terms binary")
 
 
-def _matrix(passages: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of length 1."""
-    out = np.zeros((len(passages), TERMS), dtype=np.float32)
-    for row, p in zip(out, passages, strict=True):
-        np.add.at(row, p, idf[p])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+def _product(passages: list[np.ndarray], idf: np.ndarray, q: np.ndarray, small: bool) -> np.ndarray:
+    """A'(AQ) of the passages' TF-IDF rows of length 1, or (AQ)'(AQ) if ``small``, in single precision; of A only what isn't zero is ever held."""
+    out = np.zeros((q.shape[1] if small else TERMS, q.shape[1]), dtype=np.float32)
+    for at in range(0, len(passages), 2048):
+        some = passages[at : at + 2048]
+        sizes = np.array([len(p) for p in some])
+        pairs, times = np.unique(np.repeat(np.arange(len(some)), sizes) * TERMS + np.concatenate(some), return_counts=True)
+        row, term = np.divmod(pairs, TERMS)
+        weight = (idf[term] * times).astype(np.float32)
+        weight /= np.maximum(np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(some))), 1e-9)[row].astype(np.float32)
+        starts = np.searchsorted(row, np.arange(len(some)))
+        y = np.add.reduceat(q[term] * weight[:, None], starts, axis=0)
+        if small:
+            out += y.T @ y
+            continue
+        order = np.argsort(term, kind="stable")
+        heads = np.flatnonzero(np.diff(term[order], prepend=-1))
+        out[term[order][heads]] += np.add.reduceat(y[row[order]] * weight[order][:, None], heads, axis=0)
+    return out
+
+
+#: Rows of a matrix that travel together.
+_ROWS = 1024
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """The sums, block by block, of matrices that tasks give in blocks (i, x), so that the driver gets one matrix whatever the number of tasks."""
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_py(), dtype=np.float32)
+                held[i] = held[i] + x if i in held else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["i", "x"])
+
+    return parts.repartition("i").mapInArrow(add, "i int, x binary")
 
 
 def latent_space(passages: DataFrame, idf: np.ndarray, more: list[np.ndarray], dimensions: int = DIMENSIONS, rounds: int = 2, seed: int = 11) -> np.ndarray:
     """Right singular vectors (terms by dimensions) of the passages' TF-IDF matrix A, by randomised range finding.
 
-    Each round multiplies A'A with the current basis: every task sends its part of A'(AQ), and the driver adds them up and
-    orthogonalises. ``more`` are further passages, of the benchmark. The last product, (AQ)'(AQ), is small and gives the rotation.
+    Each round multiplies A'A with the current basis: every task works out its part of A'(AQ), the parts are summed in blocks of rows, and the
+    driver gets the sum and orthogonalises. ``more`` are further passages, of the benchmark. The last product, (AQ)'(AQ), is small
+    and gives the rotation.
     """
     sc = passages.sparkSession.sparkContext
 
@@ -144,29 +185,23 @@ def latent_space(passages: DataFrame, idf: np.ndarray, more: list[np.ndarray], d
             import pyarrow as pa
 
             q, weights = held.value
-            out = np.zeros((q.shape[1] if small else TERMS, q.shape[1]), dtype=np.float32)
+            total = np.zeros((q.shape[1] if small else TERMS, q.shape[1]), dtype=np.float32)
             for batch in batches:
-                rows = [np.frombuffer(b, dtype=np.int32) for b in batch.column(0).to_pylist()]
-                for at in range(0, len(rows), 512):
-                    a = _matrix(rows[at : at + 512], weights)
-                    y = a @ q
-                    out += (y if small else a).T @ y
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["x"])
-
-        total = np.zeros((q.shape[1] if small else TERMS, q.shape[1]), dtype=np.float32)
-        for at in range(0, len(more), 512):
-            a = _matrix(more[at : at + 512], idf)
-            y = a @ q
-            total += (y if small else a).T @ y
-        for p in passages.coalesce(FIT_TASKS).mapInArrow(run, "x binary").toLocalIterator():  # one matrix at a time
-            total += np.frombuffer(p["x"], dtype=np.float32).reshape(total.shape)
+                rows = [x for b in batch.column(0).to_pylist() if len(x := np.frombuffer(b, dtype=np.int32))]
+                total += _product(rows, weights, q, small)
+            cuts = range(0, len(total), _ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array([total[c : c + _ROWS].tobytes() for c in cuts], pa.binary())], names=["i", "x"])
+
+        total = _product(more, idf, q, small)
+        for r in _summed(passages.mapInArrow(run, "i int, x binary")).toLocalIterator():
+            total[r["i"] * _ROWS : (r["i"] + 1) * _ROWS] += np.frombuffer(r["x"], dtype=np.float32).reshape(-1, total.shape[1])
         held.destroy()
-        give_back()
         return total
 
-    q = np.random.default_rng(seed).standard_normal((TERMS, dimensions + SURPLUS)).astype(np.float32)
+    q = np.random.default_rng(seed).standard_normal((TERMS, dimensions + SURPLUS), dtype=np.float32)
     for _ in range(rounds):
         q = np.linalg.qr(product(q, False))[0]
+        give_back()
     _, turn = np.linalg.eigh(product(q, True).astype(np.float64))
     return (q @ turn[:, ::-1][:, :dimensions]).astype(np.float32)
 
@@ -204,10 +239,13 @@ class Item:
 def contained(item: Item, region: list[bytes], strong: float, weak: float) -> float:
     """The best share of the item's words found in order within stretches 1.5 times its length; 0 if that is no match.
 
-    A share of ``strong`` is a match. From ``weak`` on, the stretch must also hold the item's answer, its last words, in order.
+    A share of ``strong`` is a match. From ``weak`` on, the stretch must also hold the item's answer, its last words, in order. An item
+    of under ``SHORT`` words must stand in the region as it is.
     """
     n, best = len(item.words), 0.0
-    if n < 5 or item.common(region) < weak * n:
+    if n < SHORT:
+        return float(any(region[i : i + n] == item.words for i in range(len(region) - n + 1)))
+    if item.common(region) < weak * n:
         return 0.0
     answer = Item.of(0, item.answer)
     width, step = n + n // 2 + 1, max(1, n // 4)
@@ -226,6 +264,7 @@ class Gate:
     most: int
     members: np.ndarray  # numbers of the items
     sizes: np.ndarray  # words of each
+    short: np.ndarray  # whether it must occur word by word
     column: np.ndarray  # of each term, those in many items first; -1 for terms of no item
     often: np.ndarray  # terms in many items by items: how often the item has the term
     start: np.ndarray  # postings of each further column: items and how often they have it
@@ -250,7 +289,8 @@ class Gate:
         rest = rest[np.argsort(column[term[rest]], kind="stable")]
         start = np.concatenate([[0], np.cumsum(spread[order[split:]])])
         answers = [np.unique(column[terms[k][-len(items[k].answer) :]]) for k in members]
-        return Gate(most, np.array(members), np.array([len(items[k].words) for k in members]), column, often, start, item[rest], times[rest], answers)
+        sizes = np.array([len(items[k].words) for k in members])
+        return Gate(most, np.array(members), sizes, sizes < SHORT, column, often, start, item[rest], times[rest], answers)
 
     def windows(self, words: Words, strong: float, weak: float) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, first, last) of all windows that may hold a stretch that ``contained`` accepts.
@@ -282,7 +322,7 @@ class Gate:
             lists = self.start[term + 1] - self.start[term]
             where = np.repeat(self.start[term] - (np.cumsum(lists) - lists), lists) + np.arange(int(lists.sum()))
             held += np.bincount(np.repeat(window * n, lists) + self.posted[where], weights=self.times[where], minlength=held.size).reshape(held.shape)
-            for w, i in zip(*[x.tolist() for x in np.nonzero(held >= weak * self.sizes - 1e-3)], strict=True):
+            for w, i in zip(*[x.tolist() for x in np.nonzero(held >= np.where(self.short, 1.0, weak) * self.sizes - 1e-3)], strict=True):
                 if held[w, i] >= strong * self.sizes[i] - 1e-3 or held_terms[w, self.answers[i]].all():
                     t = int(owner[low + w])
                     lo = int(at[low + w] - begin[t])
@@ -308,34 +348,55 @@ class Index:
             by.setdefault(max(8, 1 << (len(item.words) - 1).bit_length()), []).append(i)
         return [Gate.of(most, members, self.items, self.words) for most, members in sorted(by.items())]
 
-    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """The items in blocks: number of the first, latent vectors, and the idf of each item's terms, items by terms."""
+    def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The items in blocks: number of the first, latent vectors, and each item's distinct terms as sorted numbers of (item, term) with their idf."""
         for at in range(0, len(self.items), 512):
-            inside = np.zeros((min(512, len(self.items) - at), TERMS + 1), dtype=np.float32)
-            for i, t in enumerate(self.terms[at : at + 512]):
-                inside[i, t] = self.idf[t]
-            yield at, self.latent[at : at + 512], inside
+            pairs = [(i * (TERMS + 1) + t, self.idf[t]) for i, t in enumerate(self.terms[at : at + 512])]
+            codes, weights = np.concatenate([c for c, _ in pairs]), np.concatenate([w for _, w in pairs])
+            yield at, self.latent[at : at + 512], np.append(codes, 1 << 62), np.append(weights, 0.0)
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, id_col: str = "item_id", item_col: str = "text", text_col: str = "text", fit_passages: int = FIT_PASSAGES) -> Index:
-    """Count all passages, fit the latent space on a bounded sample and the benchmark, and fold the benchmark in.
+@dataclass
+class Fit:
+    """What the corpus gives: the passages' idf, and the latent space times it, with one more row of zeros for what fills up a chunk."""
 
-    The benchmark is the query set: it is gathered on the driver and sent to every task.
-    """
+    idf: np.ndarray
+    space: np.ndarray
+
+    def index(self, items: list[tuple]) -> Index:
+        """(id, text) pairs folded into the space."""
+        words = Words.of([t or "" for _, t in items])
+        ends = np.cumsum(words.sizes)
+        long = [(r[0], int(e - m), int(e)) for r, e, m in zip(items, ends, words.sizes, strict=True) if m >= LEAST]
+        rows = [words.terms[a:b] for _, a, b in long]
+        latent = np.array([self.space[r].sum(axis=0) for r in rows], dtype=np.float32).reshape(len(rows), self.space.shape[1])
+        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        distinct = [np.unique(r) for r in rows]
+        return Index(self.idf, self.space, [Item.of(i, words.listed(a, b)) for i, a, b in long], latent, distinct, np.array([self.idf[u].sum() for u in distinct]), rows)
+
+
+def fit(docs: DataFrame, benchmark: DataFrame, item_col: str = "text", text_col: str = "text", fit_passages: int = FIT_PASSAGES) -> Fit:
+    """Count all passages, and fit the latent space on at most about ``fit_passages`` of them and as many benchmark items, drawn by hash."""
     df, n = passage_counts(docs, text_col)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32).clip(0)
-    pairs = benchmark.select(F.col(id_col), F.col(item_col).cast("string")).distinct().orderBy(id_col, item_col).collect()
-    words = Words.of([r[1] or "" for r in pairs])
-    ends = np.cumsum(words.sizes)
-    long = [(r[0], int(e - m), int(e)) for r, e, m in zip(pairs, ends, words.sizes, strict=True) if m >= 5]
-    items = [Item.of(i, words.listed(a, b)) for i, a, b in long]
-    rows = [words.terms[a:b] for _, a, b in long]
+    items = benchmark.select(F.col(item_col).cast("string").alias("t")).where("t is not null").distinct()
+    share = min(1.0, fit_passages / max(1, items.count()))
+    some = Words.of([r[0] for r in items.where(F.pmod(F.xxhash64("t"), F.lit(1 << 32)) < round(share * (1 << 32))).orderBy("t").collect()])
+    more = [r for r in np.split(some.terms, np.cumsum(some.sizes)[:-1]) if len(r) >= LEAST] if len(some.sizes) else []
     sample = materialize(_passages(docs, text_col, min(1.0, fit_passages / max(1, n))).repartition(FIT_TASKS))
-    space = latent_space(sample, idf, rows) * idf[:, None]
-    latent = np.array([space[r].sum(axis=0) for r in rows], dtype=np.float32).reshape(len(rows), space.shape[1])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    distinct = [np.unique(r) for r in rows]
-    return Index(idf, np.vstack([space, np.zeros((1, space.shape[1]), dtype=np.float32)]), items, latent, distinct, np.array([idf[u].sum() for u in distinct]), rows)
+    space = latent_space(sample, idf, more) * idf[:, None]
+    release(sample)
+    give_back()
+    return Fit(idf, np.vstack([space, np.zeros((1, space.shape[1]), dtype=np.float32)]))
+
+
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", item_col: str = "text", most: int = ITEMS_AT_A_TIME) -> Iterator[list[tuple]]:
+    """The distinct (id, text) pairs in lists of about ``most``; a block is told by hash, so none but its own rows come to the driver."""
+    pairs = benchmark.select(F.col(id_col).alias("i"), F.col(item_col).cast("string").alias("t")).distinct()
+    parts = -(-pairs.count() // most)
+    for k in range(parts):
+        rows = pairs if parts == 1 else pairs.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
+        yield [tuple(r) for r in rows.orderBy("i", "t").collect()]
 
 
 def candidates(index: Index, parts: list, words: Words, cosine: float, cover: float) -> Iterator[tuple[int, int, int, int]]:
@@ -347,87 +408,93 @@ def candidates(index: Index, parts: list, words: Words, cosine: float, cover: fl
     n = int(pieces.sum())
     if not n or not index.items:
         return
-    # Each text's terms in whole chunks, filled up with the row of zeros
-    start, begin = np.cumsum(words.sizes) - words.sizes, np.cumsum(pieces) - pieces
-    padded = np.full((n, CHUNK), TERMS, dtype=np.int64)
+    # Each text's terms in whole chunks, filled up with the row of zeros; each text begins at an even row, with empty rows for the longest window behind it
+    most = max(chunks for chunks, _ in WINDOWS)
+    spaced = (pieces + most + 1) // 2 * 2
+    start, begin = np.cumsum(words.sizes) - words.sizes, np.cumsum(spaced) - spaced
+    padded = np.full((int(spaced.sum()), CHUNK), TERMS, dtype=np.int64)
     padded.ravel()[np.arange(len(words.terms)) + np.repeat(begin * CHUNK - start, words.sizes)] = words.terms
-    sums = np.zeros((n + 1, index.space.shape[1]))
+    owner = np.repeat(np.arange(len(spaced)), spaced)
+    full = np.flatnonzero(padded[:, 0] != TERMS)
+    window = np.zeros((len(padded), index.space.shape[1]), dtype=np.float32)
     for a in range(0, n, 1024):
-        total = np.take(index.space, padded[a : a + 1024, 0], axis=0)
+        rows = full[a : a + 1024]
+        total = np.take(index.space, padded[rows, 0], axis=0)
         for c in range(1, CHUNK):
-            total += np.take(index.space, padded[a : a + 1024, c], axis=0)
-        sums[a + 1 : a + 1025] = total
-    np.cumsum(sums, axis=0, out=sums)
-    owner = np.repeat(np.arange(len(pieces)), pieces)
-    number = np.arange(n)
-    for chunks, stride in WINDOWS:
-        first = number[(number - begin[owner]) % stride == 0]
-        last = np.minimum(first + chunks, (begin + pieces)[owner[first]])
-        window = (sums[last] - sums[first]).astype(np.float32)
-        window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-        for base, latent, inside in parts:
-            for a in range(0, len(first), 4096):
-                w, x = np.divmod(np.flatnonzero((window[a : a + 4096] @ latent.T).ravel() >= cosine), len(latent))
+            total += np.take(index.space, padded[rows, c], axis=0)
+        window[rows] = total
+    width, step = 1, 1
+    for chunks, stride in WINDOWS:  # each twice as wide as the one before, on the same or every other row
+        while width < chunks:
+            ahead = width // step
+            window[:-ahead] = window[:-ahead] + window[ahead:]
+            width *= 2
+            if step < stride:
+                window, step = window[::2].copy(), 2 * step
+        norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9) * np.float32(cosine)
+        for base, latent, codes, weights in parts:
+            for a in range(0, len(window), 4096):
+                w, x = np.divmod(np.flatnonzero((window[a : a + 4096] @ latent.T >= norm[a : a + 4096, None]).ravel()), len(latent))
                 for c in range(0, len(w), 16_384):
-                    wc, xc = w[c : c + 16_384] + a, x[c : c + 16_384]
-                    rows = first[wc][:, None] + np.arange(chunks)
-                    held = np.where((rows < last[wc][:, None])[:, :, None], padded[np.minimum(rows, n - 1)], TERMS).reshape(len(wc), -1)
-                    good = np.flatnonzero(inside[xc[:, None], held].sum(axis=1) >= cover * index.weight[base + xc])
-                    for i, k in zip(wc[good].tolist(), xc[good].tolist(), strict=True):
-                        t = int(owner[first[i]])
-                        lo = int(first[i] - begin[t]) * CHUNK
+                    first, xc = (w[c : c + 16_384] + a) * step, x[c : c + 16_384]
+                    held = padded[np.minimum(first[:, None] + np.arange(chunks), len(padded) - 1)].reshape(len(first), -1)  # empty rows behind a text add nothing
+                    wanted = xc[:, None] * (TERMS + 1) + held
+                    where = np.searchsorted(codes, wanted)
+                    good = np.flatnonzero(np.where(codes[where] == wanted, weights[where], 0.0).sum(axis=1) >= cover * index.weight[base + xc])
+                    for i, k in zip(first[good].tolist(), xc[good].tolist(), strict=True):
+                        t = int(owner[i])
+                        lo = int(i - begin[t]) * CHUNK
                         yield t, base + k, lo, min(lo + chunks * CHUNK, int(words.sizes[t]))
 
 
-def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float = 0.65, cover: float = 0.45, strong: float = 0.8, weak: float = 0.6) -> DataFrame:
-    """All rows and columns of ``docs`` with contaminated, n_items, items (ids, comma-joined, in order) and best_share."""
-    held = docs.sparkSession.sparkContext.broadcast(index)
-    keep = [c for c in docs.columns if c not in ("contaminated", "n_items", "items", "best_share")]
-
-    def found(texts: list[str], parts: list, gates: list[Gate]) -> list[list[tuple]]:
-        idx: Index = held.value
-        words = Words.of(texts)
-        begin = np.cumsum(words.sizes) - words.sizes
-        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for t, item, lo, hi in candidates(idx, parts, words, cosine, cover):
+def hits(index: Index, parts: list, gates: list[Gate], texts: list[str], cosine: float, cover: float, strong: float, weak: float) -> list[list[tuple]]:
+    """(id, share) of the items that each text holds."""
+    words = Words.of(texts)
+    begin = np.cumsum(words.sizes) - words.sizes
+    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for t, item, lo, hi in candidates(index, parts, words, cosine, cover):
+        spans.setdefault((t, item), []).append((lo, hi))
+    for gate in gates:
+        for t, item, lo, hi in gate.windows(words, strong, weak):
             spans.setdefault((t, item), []).append((lo, hi))
-        for gate in gates:
-            for t, item, lo, hi in gate.windows(words, strong, weak):
-                spans.setdefault((t, item), []).append((lo, hi))
-        out: list[list[tuple]] = [[] for _ in texts]
-        for (t, k), windows in spans.items():
-            item, best, regions = idx.items[k], 0.0, []
-            step = max(1, len(item.words) // 4)  # regions begin where the stretches of the whole text do
-            for lo, hi in sorted(windows):
-                lo, hi = max(0, lo - len(item.words)) // step * step, min(hi + len(item.words), int(words.sizes[t]))
-                if regions and lo <= regions[-1][1]:
-                    regions[-1][1] = max(hi, regions[-1][1])
-                else:
-                    regions.append([lo, hi])
-            for lo, hi in regions:
-                best = max(best, contained(item, words.listed(int(begin[t]) + lo, int(begin[t]) + hi), strong, weak))
-            if best:
-                out[t].append((item.ident, best))
-        return out
+    out: list[list[tuple]] = [[] for _ in texts]
+    for (t, k), windows in spans.items():
+        item, best, regions = index.items[k], 0.0, []
+        step = max(1, len(item.words) // 4)  # regions begin where the stretches of the whole text do
+        for lo, hi in sorted(windows):
+            lo, hi = max(0, lo - len(item.words)) // step * step, min(hi + len(item.words), int(words.sizes[t]))
+            if regions and lo <= regions[-1][1]:
+                regions[-1][1] = max(hi, regions[-1][1])
+            else:
+                regions.append([lo, hi])
+        for lo, hi in regions:
+            best = max(best, contained(item, words.listed(int(begin[t]) + lo, int(begin[t]) + hi), strong, weak))
+        if best:
+            out[t].append((item.ident, best))
+    return out
+
+
+RESULT = "contaminated boolean, n_items int, items string, best_share double"
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
+def listed(found: list[tuple]) -> tuple[bool, int, str, float]:
+    """The result's columns for the (id, share) of a text's items. Ids are of one type; those without one count as one item."""
+    ids = sorted({i for i, _ in found}, key=lambda i: (i is None, *(() if i is None else (i,))))
+    return bool(ids), len(ids), ",".join(str(i) for i in ids if i is not None), max((s for _, s in found), default=0.0)
+
+
+def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float = 0.65, cover: float = 0.45, strong: float = 0.8, weak: float = 0.6) -> DataFrame:
+    """All rows and columns of ``docs`` with contaminated, n_items, items (ids, comma-joined, in order) and best_share, for one block of items."""
+    held = docs.sparkSession.sparkContext.broadcast(index)
+
+    def work() -> Callable[[list[str]], list[tuple]]:
         parts, gates = list(held.value.parts()), held.value.gates()
-        for batch in batches:
-            hits: list[list[tuple]] = []
-            for _, texts in blocks([batch.select(["__text"])], "__text", 1 << 19):
-                hits += found(texts, parts, gates)
-            listed = [sorted({i for i, _ in h}, key=lambda i: (i is None, *(() if i is None else (i,)))) for h in hits]  # ids of one type; null is last
-            cols = [*[batch.column(i) for i in range(len(keep))], pa.array([bool(x) for x in listed]), pa.array([len(x) for x in listed], pa.int32()), pa.array([",".join(str(i) for i in x if i is not None) for x in listed], pa.string()), pa.array([max((s for _, s in h), default=0.0) for h in hits], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "contaminated", "n_items", "items", "best_share"])
+        return lambda texts: [listed(h) for h in hits(held.value, parts, gates, texts, cosine, cover, strong, weak)]
 
-    chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}contaminated boolean, n_items int, items string, best_share double")
+    return with_text_columns(docs, text_col, RESULT, work, 1 << 19)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", cosine: float = 0.65, cover: float = 0.45, strong: float = 0.8, weak: float = 0.6) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_col: str = "text", cosine: float = 0.65, cover: float = 0.45, strong: float = 0.8, weak: float = 0.6, items_at_a_time: int = ITEMS_AT_A_TIME) -> DataFrame:
     """All rows and columns of ``docs`` with contaminated, n_items, items and best_share.
 
     Each text is cut into overlapping windows of 16, 32 and 64 words. A window within ``cosine`` of a benchmark passage in latent
@@ -436,8 +503,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     1.5 times the passage's length has ``strong`` of its words in order, or ``weak`` of them and its answer (its last words). What is
     found is just what this check finds in whole texts, passage by passage.
 
-    Words are lower-cased, and ASCII punctuation doesn't count. Benchmark passages of under five words are never found. Those
-    with a null id count like any other, all as one item in n_items, but have no id to list in items. A null or empty text is
-    clean, as is every text if the benchmark is empty. Rows are handled each for itself, so repeated rows stay. Columns named like the outputs are replaced. An empty table gives no rows.
+    The benchmark is the query set. It is taken in blocks of about ``items_at_a_time``, one pass over the texts for each, so neither the
+    driver nor a task holds more of it.
+
+    Words are lower-cased, and ASCII punctuation doesn't count. Benchmark passages of three and four words must occur as they are; those of
+    fewer words, or none, are in too many texts to mean anything and are left out. Those with a null id count like any other, all as
+    one item in n_items, but have no id to list in items. A null or empty text is clean, as is every text if the benchmark is empty. Rows
+    are handled each for itself, so repeated rows stay. Columns named like the outputs are replaced; no other name clashes with
+    any. An empty table gives no rows.
     """
-    return search(docs, build_index(docs, benchmark, text_col=text_col), text_col, cosine, cover, strong, weak)
+    space = fit(docs, benchmark, item_col, text_col)
+    blocks_of = item_blocks(benchmark, id_col, item_col, items_at_a_time)
+    first = space.index(next(blocks_of, []))
+    second = next(blocks_of, None)
+    if second is None:
+        return search(docs, first, text_col, cosine, cover, strong, weak)
+    # More blocks: each gives the ids that it finds by row, and a row's ids meet at the end
+    names = [c for c in docs.columns if c not in ("contaminated", "n_items", "items", "best_share")]
+    rows = materialize(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").cast("string").alias("t"), F.monotonically_increasing_id().alias("uid")))
+    kind = benchmark.schema[id_col].dataType.simpleString()
+    parts = []
+    for index in itertools.chain([first, space.index(second)], map(space.index, blocks_of)):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def work(held: Any = held) -> Callable[[list[str]], list[tuple]]:
+            parts, gates = list(held.value.parts()), held.value.gates()
+            return lambda texts: [([{"id": i, "share": s} for i, s in h],) for h in hits(held.value, parts, gates, texts, cosine, cover, strong, weak)]
+
+        got = with_text_columns(rows.select("uid", "t"), "t", f"h array<struct<id:{kind},share:double>>", work, 1 << 19)
+        parts.append(materialize(got.where(F.size("h") > 0).select("uid", F.explode("h").alias("h")).select("uid", "h.*")))
+        held.destroy()
+    found = reduce(DataFrame.unionByName, parts).groupBy("uid").agg(
+        F.array_sort(F.collect_set("id")).alias("ids"), F.max(F.col("id").isNull().cast("int")).alias("nameless"), F.max("share").alias("share"))
+    out = rows.join(found, "uid", "left")
+    n = F.coalesce(F.size("ids") + F.col("nameless"), F.lit(0)).cast("int")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], (n > 0).alias("contaminated"), n.alias("n_items"),
+                      F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("items"), F.coalesce("share", F.lit(0.0)).alias("best_share"))
