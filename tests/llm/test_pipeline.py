@@ -123,3 +123,36 @@ def test_near_duplicates_keep_null_and_repeated_ids(spark) -> None:
     assert got.columns == docs.columns
     want = [*rows[:6], (9, upper, "bb", "s9", 0), rows[-1]]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize(("hold", "passing"), [(1024, 16_384), (3, 10)])
+def test_near_copies_around_one_text_against_all_pairs(spark, monkeypatch, hold: int, passing: int) -> None:
+    """Copies of one text with many or few edits: just the components that all pairs at Jaccard 0.8 give, however a group is dealt out."""
+    monkeypatch.setattr(jaccard, "HOLD", hold)
+    monkeypatch.setattr(jaccard, "PASS", passing)
+    rng = random.Random(27)
+    texts = []
+    for family in range(3):
+        base = [f"b{family}w{rng.randrange(4000)}" for _ in range(150)]
+        for _ in range(70):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 3, 4, 5, 6, 8])):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(30)}"
+            texts.append(" ".join(copy[: rng.choice([150, 150, 140, 120, 110, 90])]))
+    rng.shuffle(texts)
+    sets = [jaccard.shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (both := len(a & sets[j])) and 100 * both >= 80 * (len(a) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    rows = spark.createDataFrame(list(enumerate(texts)), "u long, text string").repartition(5)
+    got = {r["u"]: r["root"] for r in jaccard.groups(rows, "u").collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 6
