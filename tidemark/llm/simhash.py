@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialize, release, wide_join
+from .common import blocks, give_back, materialize, release, wide_join
 
 FINGERPRINT_BITS = 64
 
@@ -172,22 +172,24 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             out = out.unionByName(least.where("u <> m").select("u", F.col("m").alias("v")))
         return out.where("u <> v").distinct()
 
-    def sign(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first())
+    def open_(df: DataFrame) -> bool:
+        """Whether some node is both above and below a link, or above two: then the links aren't yet one from each node to its root."""
+        ends = df.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")), F.struct(F.col("v").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below")))).alias("e")).select("e.*")
+        return not ends.groupBy("node").agg(F.sum("above").alias("a"), F.max("below").alias("b")).where("a > 1 or a = 1 and b = 1").isEmpty()
 
     now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = sign(now)
     for _ in range(rounds):
+        if not open_(now):
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         grown = star(both, True)
         turned = grown.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         after = materialize(star(turned, False))
         release(now)
-        now, before, mark = after, mark, sign(after)
-        if mark == before:
-            break
+        now = after
     else:
         raise RuntimeError("components did not settle")
+    give_back()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
