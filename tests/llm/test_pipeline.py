@@ -156,3 +156,20 @@ def test_near_copies_around_one_text_against_all_pairs(spark, monkeypatch, hold:
     rows = spark.createDataFrame(list(enumerate(texts)), "u long, text string").repartition(5)
     got = {r["u"]: r["root"] for r in jaccard.groups(rows, "u").collect()}
     assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 6
+
+
+def test_fingerprints_link_what_jaccard_does_not(spark) -> None:
+    """Texts below Jaccard 0.8 whose fingerprints are at most 4 bits apart are one group too, and groups of both kinds of links are joined."""
+    for seed in range(3000):
+        rng = random.Random(seed)
+        base = [f"w{rng.randrange(9000)}" for _ in range(120)]
+        a, b = " ".join(base), " ".join(f"x{i}" if i in (10, 50, 90) else w for i, w in enumerate(base))
+        both, either = (len(f(jaccard.shingles(a), jaccard.shingles(b))) for f in (set.intersection, set.union))
+        if (slow_fingerprint(a) ^ slow_fingerprint(b)).bit_count() <= 4 and 100 * both < 80 * either:
+            break
+    else:
+        raise AssertionError("no such texts")
+    near = " ".join([*b.split()[:-1], "end"])
+    rows = [(i, t, "aa", "s", 0) for i, t in enumerate([a, b, near, speak(rng, "bb", 60)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 3]
