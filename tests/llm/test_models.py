@@ -750,3 +750,31 @@ def test_copies_of_one_document_keep_their_secret(spark) -> None:
     one, wide = "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "ghp_99C7e42F292c6912E7710c838347Ae178B4b"
     rows = [(1, f"key {one}", "en", "s1"), (2, f"key {one}", "en", "s2"), (3, f"a {wide}", "en", "s1"), (4, f"b {wide}", "en", None)]
     assert {r["doc_id"]: r["n_live"] for r in secrets.secret_scan(docs_frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_cover_is_looked_up(monkeypatch) -> None:
+    """Which windows near an item hold enough of its terms is told without a search for each of their words, for more than one block of items too."""
+    D = decontaminate
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    said = [" ".join(rng.choice(vocabulary, n)) for n in rng.integers(1, 90, 8)]
+    idf = rng.random(D.TERMS, dtype=np.float32)
+    space = np.vstack([rng.standard_normal((D.TERMS, 8), dtype=np.float32), np.zeros((1, 8), dtype=np.float32)])
+    index = D.Fit(idf, space).index([(i, " ".join(rng.choice(vocabulary, 6))) for i in range(700)])
+    words, parts = D.Words.of(said), list(index.parts())
+    assert len(parts) == 2
+    want, begin = set(), np.cumsum(words.sizes) - words.sizes
+    for t, size in enumerate(words.sizes.tolist()):
+        for chunks, stride in D.WINDOWS:
+            for lo in range(0, size, stride * D.CHUNK):
+                held = words.terms[begin[t] + lo : begin[t] + min(lo + chunks * D.CHUNK, size)]
+                for i, terms in enumerate(index.terms):
+                    if idf[held][np.isin(held, terms)].sum(dtype=np.float64) >= 0.45 * index.weight[i]:
+                        want.add((t, i, lo, min(lo + chunks * D.CHUNK, size)))
+
+    def refused(*_: object, **__: object) -> None:
+        raise AssertionError("words are searched for")
+
+    monkeypatch.setattr(np, "searchsorted", refused)
+    got = list(D.candidates(index, parts, words, -1e6, 0.45))
+    assert want and set(got) >= want and all(lo >= words.sizes[t] or (t, i, lo, hi) in want for t, i, lo, hi in got)

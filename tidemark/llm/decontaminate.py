@@ -74,7 +74,7 @@ class Words:
         return Words(data, first, last, sizes, (mixed >> np.uint64(64 - TERMS.bit_length() + 1)).astype(np.int64))
 
     def listed(self, a: int, b: int) -> list[bytes]:
-        return [self.data[i:j].tobytes() for i, j in zip(self.first[a:b].tolist(), self.last[a:b].tolist(), strict=True)]
+        return self.data[self.first[a] : self.last[b - 1]].tobytes().split() if a < b else []
 
 
 def _starts(sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,11 +349,16 @@ class Index:
         return [Gate.of(most, members, self.items, self.words) for most, members in sorted(by.items())]
 
     def parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """The items in blocks: number of the first, latent vectors, and each item's distinct terms as sorted numbers of (item, term) with their idf."""
+        """The items in blocks: number of the first, latent vectors, the column of each term (0 for terms of none of them), and of items by columns, one row after the other, which are the item's."""
         for at in range(0, len(self.items), 512):
-            pairs = [(i * (TERMS + 1) + t, self.idf[t]) for i, t in enumerate(self.terms[at : at + 512])]
-            codes, weights = np.concatenate([c for c, _ in pairs]), np.concatenate([w for _, w in pairs])
-            yield at, self.latent[at : at + 512], np.append(codes, 1 << 62), np.append(weights, 0.0)
+            some = self.terms[at : at + 512]
+            used = np.unique(np.concatenate(some))
+            column = np.zeros(TERMS + 1, dtype=np.int32)
+            column[used] = np.arange(1, len(used) + 1, dtype=np.int32)
+            held = np.zeros((len(some), len(used) + 1), dtype=np.uint8)
+            for i, t in enumerate(some):
+                held[i, column[t]] = 1
+            yield at, self.latent[at : at + 512], column, held
 
 
 @dataclass
@@ -423,6 +428,7 @@ def candidates(index: Index, parts: list, words: Words, cosine: float, cover: fl
         for c in range(1, CHUNK):
             total += np.take(index.space, padded[rows, c], axis=0)
         window[rows] = total
+    idf = np.append(index.idf, np.float32(0))[padded]
     width, step = 1, 1
     for chunks, stride in WINDOWS:  # each twice as wide as the one before, on the same or every other row
         while width < chunks:
@@ -432,15 +438,16 @@ def candidates(index: Index, parts: list, words: Words, cosine: float, cover: fl
             if step < stride:
                 window, step = window[::2].copy(), 2 * step
         norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9) * np.float32(cosine)
-        for base, latent, codes, weights in parts:
+        for base, latent, column, items in parts:
+            cols = column[padded]
             for a in range(0, len(window), 4096):
                 w, x = np.divmod(np.flatnonzero((window[a : a + 4096] @ latent.T >= norm[a : a + 4096, None]).ravel()), len(latent))
                 for c in range(0, len(w), 16_384):
                     first, xc = (w[c : c + 16_384] + a) * step, x[c : c + 16_384]
-                    held = padded[np.minimum(first[:, None] + np.arange(chunks), len(padded) - 1)].reshape(len(first), -1)  # empty rows behind a text add nothing
-                    wanted = xc[:, None] * (TERMS + 1) + held
-                    where = np.searchsorted(codes, wanted)
-                    good = np.flatnonzero(np.where(codes[where] == wanted, weights[where], 0.0).sum(axis=1) >= cover * index.weight[base + xc])
+                    at = np.minimum(first[:, None] + np.arange(chunks), len(padded) - 1)  # empty rows behind a text add nothing
+                    wanted = cols[at].reshape(len(first), -1)
+                    wanted += (xc * items.shape[1]).astype(np.int32)[:, None]
+                    good = np.flatnonzero(np.einsum("ij,ij->i", idf[at].reshape(len(first), -1), items.ravel().take(wanted)) >= cover * index.weight[base + xc])
                     for i, k in zip(first[good].tolist(), xc[good].tolist(), strict=True):
                         t = int(owner[i])
                         lo = int(i - begin[t]) * CHUNK
