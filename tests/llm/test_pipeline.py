@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_dedup import brute_components, slow_fingerprint, slow_shard
 from test_models import speak
 
-from tidemark.llm import jaccard, mixing
+from tidemark.llm import common, jaccard, mixing
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +173,20 @@ def test_fingerprints_link_what_jaccard_does_not(spark) -> None:
     rows = [(i, t, "aa", "s", 0) for i, t in enumerate([a, b, near, speak(rng, "bb", 60)])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 3]
+
+
+def test_batches_of_written_tables_are_bounded(spark) -> None:
+    """Long texts go to Python a few at a time, every row once, and the session's setting is as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 60, 1, 1).withColumn("text", F.repeat(F.lit("word "), 100_000))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "m"])
+
+    before = spark.conf.get(key, None)
+    seen = common.materialize(docs.mapInArrow(sizes, "n long, m long")).collect()
+    assert sum(r["n"] for r in seen) == 60 and max(r["m"] for r in seen) <= common.BATCH_BYTES + 600_000
+    assert spark.conf.get(key, None) == before

@@ -39,11 +39,29 @@ def _sweep() -> None:
             forget(spark, path)
 
 
+#: Bytes after which a batch of rows goes to Python while a table is written; Spark's 10,000 rows and 64 MB would be held by each task's JVM side and by its Python worker.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound the batches that go to Python by ``BATCH_BYTES``; the session's own setting holds where it is lower, and comes back at the end."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None)
+    if own is None or not own.isdigit() or int(own) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.tidemark_path = path
@@ -69,12 +87,18 @@ def release(df: DataFrame) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
-def give_back() -> None:
-    """Return memory on the driver: what large arrays have left free, where the C library can; and let the JVM collect, which also lets Spark delete the shuffle files and broadcasts that nothing refers to any more."""
+def trim() -> None:
+    """Return what this process has left free, where the C library and Arrow can. A Python worker serves one task after the other and else keeps what the largest one took."""
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    pa.default_memory_pool().release_unused()
+    trimmed = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trimmed is not None:
+        trimmed(0)
+
+
+def give_back() -> None:
+    """Return memory on the driver: what large arrays have left free; and let the JVM collect, which also lets Spark delete the shuffle files and broadcasts that nothing refers to any more."""
+    trim()
     spark = SparkSession.getActiveSession()
     if spark is not None:
         spark._jvm.System.gc()

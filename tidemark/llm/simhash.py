@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, give_back, materialize, release, wide_join
+from .common import blocks, give_back, materialize, release, trim, wide_join
 
 FINGERPRINT_BITS = 64
 
@@ -41,6 +41,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4, i
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        trim()
         for batch in batches:
             fps = [fingerprint(t or "", width) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=[id_col, "fp"])
@@ -113,6 +114,7 @@ def near_links(fps: DataFrame, distance: int = 4, parts: int = 7, most: int = 40
             b = np.concatenate([np.array([y for _, y in out], dtype=np.uint64), fp[close + 1]])
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+        trim()
         held = None  # the last group of a batch may go on in the next one
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
