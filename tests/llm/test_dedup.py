@@ -215,3 +215,19 @@ def test_running_offset(spark) -> None:
     for s in spans.values():
         s.sort()
         assert s[0][0] == 0 and all(a[1] == b[0] for a, b in zip(s, s[1:], strict=False))
+
+
+def test_fingerprints_that_share_most_keys_are_not_broadcast(spark, monkeypatch) -> None:
+    """The groups of keys come from an explode and a count, which Spark's guess of their size leaves out: the driver gets no more than the threshold."""
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "xxhash64(id div 2) ^ (id % 2) AS fp")
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs, *_: docs)
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "4m", "spark.sql.maxBroadcastTableSize": "8m"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        wrong = simhash.near_duplicates(docs).where("component_id <> doc_id - doc_id % 2").count()
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "4m"
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert wrong == 0

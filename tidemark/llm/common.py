@@ -56,6 +56,24 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if own is None else spark.conf.set(key, own)
 
 
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """Broadcast a join's side only when it has been made and measured, up to the session's own threshold.
+
+    Before, Spark knows the size of the files that it comes from, packed, and takes neither an explode nor what a function adds into account, so the driver could get many times the threshold.
+    """
+    guess, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    own = {key: spark.conf.get(key, None) for key in (guess, measured)}
+    if own[measured] is None:
+        spark.conf.set(measured, spark.conf.get(guess))
+    spark.conf.set(guess, "-1")
+    try:
+        yield
+    finally:
+        for key, value in own.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
     spark = df.sparkSession

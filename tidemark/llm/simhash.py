@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, give_back, materialize, release, trim, wide_join
+from .common import blocks, give_back, materialize, measured_joins, release, trim, wide_join
 
 FINGERPRINT_BITS = 64
 
@@ -203,11 +203,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no other. An empty table gives no rows; other columns are ignored.
     """
     rows = materialize(with_fingerprints(docs, text_col, width, id_col))
-    unique = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
-    links = materialize(near_links(unique.select("fp"), distance, parts, most))
-    roots = components(links)
-    members = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    with measured_joins(docs.sparkSession):
+        unique = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
+        links = materialize(near_links(unique.select("fp"), distance, parts, most))
+        roots = components(links)
+        members = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        members = materialize(members.select("fp", "root", "least"))
     named = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = wide_join(members.select("fp", "root"), named, ["root"]).select("fp", "component_id")
-    out = wide_join(rows, named, ["fp"])
+    named = wide_join(members.select("fp", "root"), named.hint("merge"), ["root"]).select("fp", "component_id")
+    out = wide_join(rows, named.hint("merge"), ["fp"])
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
