@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_dedup import brute_components, slow_fingerprint, slow_shard
 from test_models import speak
 
-from tidemark.llm import common, jaccard, mixing
+from tidemark.llm import common, jaccard, mixing, simhash
 
 
 @pytest.fixture(scope="module")
@@ -190,3 +190,18 @@ def test_batches_of_written_tables_are_bounded(spark) -> None:
     seen = common.materialize(docs.mapInArrow(sizes, "n long, m long")).collect()
     assert sum(r["n"] for r in seen) == 60 and max(r["m"] for r in seen) <= common.BATCH_BYTES + 600_000
     assert spark.conf.get(key, None) == before
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark, monkeypatch) -> None:
+    """What comes from an explode is larger than Spark's guess: no side of a join is broadcast by it."""
+    docs = spark.range(0, 40_000, 1, 1).selectExpr("id AS doc_id", "concat('only ', id) AS text", "'s' AS source")
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda rows, text, width, uid: rows.selectExpr(uid, f"xxhash64({uid} div 2) ^ ({uid} % 2) AS fp"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "4m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.maxBroadcastTableSize": "8m"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert kept.agg(F.count("*"), F.max(F.col("doc_id") % 2)).first()[:] == (20_000, 0)
+    finally:
+        for key in conf:
+            spark.conf.unset(key)

@@ -542,7 +542,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         held.destroy()
     found = reduce(DataFrame.unionByName, parts).groupBy("uid").agg(
         F.array_sort(F.collect_set("id")).alias("ids"), F.max(F.col("id").isNull().cast("int")).alias("nameless"), F.max("share").alias("share"))
-    out = rows.join(found, "uid", "left")
+    out = rows.join(found.hint("merge"), "uid", "left")
     n = F.coalesce(F.size("ids") + F.col("nameless"), F.lit(0)).cast("int")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], (n > 0).alias("contaminated"), n.alias("n_items"),
                       F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("items"), F.coalesce("share", F.lit(0.0)).alias("best_share"))

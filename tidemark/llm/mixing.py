@@ -216,7 +216,7 @@ def mixed_texts(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), fraction:
     rows = materialize(kept.select("uid", F.col(place[id_col]).alias("id"), F.col(place[source_col]).cast("string").alias("src"), words("text").alias("size"), mark.alias("mark")))
     _, pieces = plan(rows, weights, fraction, block, per_shard, seed)
     spans = pieces.groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("got"))
-    spans = wide_join(spans, rows.select("uid", "size"), ["uid"]).select("uid", F.when(F.col("got") < F.col("size"), F.col("spans")).alias("spans"))  # null: taken whole
+    spans = wide_join(spans, rows.select("uid", "size").hint("merge"), ["uid"]).select("uid", F.when(F.col("got") < F.col("size"), F.col("spans")).alias("spans"))  # null: taken whole
     out = wide_join(kept, spans, ["uid"]).withColumn("text", cut(F.col("text"), F.col("spans")))
     return out.select(*[F.col(place[c]).alias(c) for c in names])
 
