@@ -26,6 +26,8 @@ SHORT, LEAST = 5, 3
 ITEMS_AT_A_TIME = 8_192
 #: Tasks that fit the space.
 FIT_TASKS = 3
+#: Characters of texts that are counted or searched at a time, so that their arrays stay in a core's cache; a longer text stands alone.
+BLOCK = 1 << 18
 
 
 #: Bytes of lower-cased text: 0 part of a word, 1 white space, 2 punctuation, which is left out.
@@ -92,7 +94,7 @@ def passage_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
         import pyarrow as pa
 
         df = np.zeros(TERMS + 1, dtype=np.int64)
-        for _, texts in blocks(batches, "t"):
+        for _, texts in blocks(batches, "t", BLOCK):
             w = Words.of(texts)
             at, _ = _starts(w.sizes, PASSAGE)
             if len(at):
@@ -422,11 +424,13 @@ def candidates(index: Index, parts: list, words: Words, cosine: float, cover: fl
     owner = np.repeat(np.arange(len(spaced)), spaced)
     full = np.flatnonzero(padded[:, 0] != TERMS)
     window = np.zeros((len(padded), index.space.shape[1]), dtype=np.float32)
-    for a in range(0, n, 1024):
-        rows = full[a : a + 1024]
-        total = np.take(index.space, padded[rows, 0], axis=0)
+    taken = np.empty((256, index.space.shape[1]), dtype=np.float32)
+    for a in range(0, n, 256):
+        rows = full[a : a + 256]
+        terms = padded[rows]
+        total = np.take(index.space, terms[:, 0], axis=0)
         for c in range(1, CHUNK):
-            total += np.take(index.space, padded[rows, c], axis=0)
+            total += np.take(index.space, terms[:, c], axis=0, out=taken[: len(rows)], mode="clip")  # no term is out of range, and "raise" would copy
         window[rows] = total
     idf = np.append(index.idf, np.float32(0))[padded]
     width, step = 1, 1
@@ -437,13 +441,15 @@ def candidates(index: Index, parts: list, words: Words, cosine: float, cover: fl
             width *= 2
             if step < stride:
                 window, step = window[::2].copy(), 2 * step
+        begins = full if step == 1 else full[full % step == 0] // step  # windows that begin in empty rows are empty
         norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-9) * np.float32(cosine)
         for base, latent, column, items in parts:
             cols = column[padded]
-            for a in range(0, len(window), 4096):
-                w, x = np.divmod(np.flatnonzero((window[a : a + 4096] @ latent.T >= norm[a : a + 4096, None]).ravel()), len(latent))
+            for a in range(0, len(begins), 1024):
+                rows = begins[a : a + 1024]
+                w, x = np.divmod(np.flatnonzero((window[rows] @ latent.T >= norm[rows, None]).ravel()), len(latent))
                 for c in range(0, len(w), 16_384):
-                    first, xc = (w[c : c + 16_384] + a) * step, x[c : c + 16_384]
+                    first, xc = rows[w[c : c + 16_384]] * step, x[c : c + 16_384]
                     at = np.minimum(first[:, None] + np.arange(chunks), len(padded) - 1)  # empty rows behind a text add nothing
                     wanted = cols[at].reshape(len(first), -1)
                     wanted += (xc * items.shape[1]).astype(np.int32)[:, None]
@@ -498,7 +504,7 @@ def search(docs: DataFrame, index: Index, text_col: str = "text", cosine: float
         parts, gates = list(held.value.parts()), held.value.gates()
         return lambda texts: [listed(h) for h in hits(held.value, parts, gates, texts, cosine, cover, strong, weak)]
 
-    return with_text_columns(docs, text_col, RESULT, work, 1 << 19)
+    return with_text_columns(docs, text_col, RESULT, work, BLOCK)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", item_col: str = "text", cosine: float = 0.65, cover: float = 0.45, strong: float = 0.8, weak: float = 0.6, items_at_a_time: int = ITEMS_AT_A_TIME) -> DataFrame:
@@ -537,7 +543,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             parts, gates = list(held.value.parts()), held.value.gates()
             return lambda texts: [([{"id": i, "share": s} for i, s in h],) for h in hits(held.value, parts, gates, texts, cosine, cover, strong, weak)]
 
-        got = with_text_columns(rows.select("uid", "t"), "t", f"h array<struct<id:{kind},share:double>>", work, 1 << 19)
+        got = with_text_columns(rows.select("uid", "t"), "t", f"h array<struct<id:{kind},share:double>>", work, BLOCK)
         parts.append(materialize(got.where(F.size("h") > 0).select("uid", F.explode("h").alias("h")).select("uid", "h.*")))
         held.destroy()
     found = reduce(DataFrame.unionByName, parts).groupBy("uid").agg(
