@@ -778,3 +778,12 @@ def test_cover_is_looked_up(monkeypatch) -> None:
     monkeypatch.setattr(np, "searchsorted", refused)
     got = list(D.candidates(index, parts, words, -1e6, 0.45))
     assert want and set(got) >= want and all(lo >= words.sizes[t] or (t, i, lo, hi) in want for t, i, lo, hi in got)
+
+
+def test_verdicts_do_not_depend_on_the_passages_fitted(spark) -> None:
+    """The latent space is fitted on a sample; what is counted, searched and found is not."""
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    items = next(decontaminate.item_blocks(benchmark))
+    found = [sorted(map(tuple, decontaminate.search(docs.select("doc_id", "text"), decontaminate.fit(docs.select("text"), benchmark, fit_passages=n).index(items)).drop("text").collect())) for n in (32, 1 << 40)]
+    assert found[0] == found[1]
+    assert any(r[1] for r in found[0])
